@@ -117,7 +117,7 @@ def test_decontamination(spark, docs, texts, monkeypatch, most):
     got = decontaminate.judge(decontaminate.annotate(docs.select("doc_id", "text"), frame, most=most)).collect()
     want = brute_contamination(texts, items)
     for r in got:
-        assert (r["_n_words"], r["_n_hit"], len(r["_items"]), decontaminate.items_digest(r["_items"]), r["_bad"]) == want[r["doc_id"]]
+        assert (r["__vf_n_words"], r["__vf_n_hit"], len(r["__vf_items"]), decontaminate.items_digest(r["__vf_items"]), r["__vf_bad"]) == want[r["doc_id"]]
 
 
 def test_spans_are_cut(spark):
@@ -293,7 +293,7 @@ def test_mixing(spark, docs, texts):
 def test_many_documents_of_a_source(spark):
     frame = spark.range(60_000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', 1 + cast(id % 17 as int))").alias("text"), F.expr("if(id % 3 = 0, 'hot', concat('s', id % 40))").alias("source"))
     got = mixing.copies(frame).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.max("copies").alias("most")).collect()
-    assert all(abs(r["taken"] - r["target"]) <= 1.01 and r["most"] <= 3 for r in got)
+    assert all(abs(r["taken"] - r["target"]) <= 17 / 2 and r["most"] <= 3 for r in got)
 
 
 @pytest.mark.parametrize(("run", "label", "column"), [(quality.classify, "quality", "predicted"), (toxicity.classify, "toxic", "predicted")])

@@ -198,8 +198,8 @@ def blocks(items: DataFrame, window: int, most: int) -> Iterator[Automaton]:
 
 
 def annotate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with _n_words, _spans (array of [first word, one past the last]) and _items."""
-    extra = {"_n_words": "bigint", "_spans": "array<array<int>>", "_items": "array<string>"}
+    """``docs`` with __vf_n_words, __vf_spans (array of [first word, one past the last]) and __vf_items."""
+    extra = {"__vf_n_words": "bigint", "__vf_spans": "array<array<int>>", "__vf_items": "array<string>"}
     out = None
     for automaton in blocks(items, window, most):
         shared = docs.sparkSession.sparkContext.broadcast(automaton)
@@ -214,9 +214,9 @@ def annotate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int
                     w = words_of(t.as_py())
                     s, names = automaton.scan(w)
                     if again:
-                        names |= set(b.column("_items")[k].as_py())
+                        names |= set(b.column("__vf_items")[k].as_py())
                         merged: list[tuple[int, int]] = []
-                        for x, y in sorted([*s, *map(tuple, b.column("_spans")[k].as_py())]):
+                        for x, y in sorted([*s, *map(tuple, b.column("__vf_spans")[k].as_py())]):
                             if merged and x <= merged[-1][1]:
                                 merged[-1] = (merged[-1][0], max(y, merged[-1][1]))
                             else:
@@ -225,7 +225,7 @@ def annotate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int
                     n.append(len(w))
                     spans.append([list(x) for x in s])
                     found.append(sorted(names))
-                kept = [i for i, name in enumerate(b.schema.names) if name not in ("_n_words", "_spans", "_items")]
+                kept = [i for i, name in enumerate(b.schema.names) if name not in ("__vf_n_words", "__vf_spans", "__vf_items")]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(i) for i in kept] + [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(found, pa.list_(pa.string()))],
                     names=[b.schema.names[i] for i in kept] + list(extra),
@@ -238,26 +238,27 @@ def annotate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: int
 
 def judge(marked: DataFrame) -> DataFrame:
     """Adds n_words, n_hit, n_items, contaminated to what ``annotate`` gives."""
-    hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda acc, s: acc + s[1] - s[0])
-    out = marked.withColumn("_n_hit", hit)
-    return out.withColumn("_bad", (F.col("_n_hit") > 0) & (20 * F.col("_n_hit") >= F.col("_n_words")))
+    hit = F.aggregate("__vf_spans", F.lit(0).cast("long"), lambda acc, s: acc + s[1] - s[0])
+    out = marked.withColumn("__vf_n_hit", hit)
+    return out.withColumn("__vf_bad", (F.col("__vf_n_hit") > 0) & (20 * F.col("__vf_n_hit") >= F.col("__vf_n_words")))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items (their ids), spans, contaminated."""
     out = judge(annotate(docs.select("doc_id", "text"), items, window))
-    return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.col("_items").alias("items"), F.col("_spans").alias("spans"), F.col("_bad").alias("contaminated"))
+    return out.select("doc_id", F.col("__vf_n_words").alias("n_words"), F.col("__vf_n_hit").alias("n_hit"), F.size("__vf_items").cast("long").alias("n_items"), F.col("__vf_items").alias("items"), F.col("__vf_spans").alias("spans"), F.col("__vf_bad").alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that stay: those under the coverage limit, unchanged."""
-    return judge(annotate(docs, items, window)).where("NOT _bad").select(*docs.columns)
+    return judge(annotate(docs, items, window)).where("NOT __vf_bad").select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int = WINDOW) -> DataFrame:
     """Contaminated documents go; in the others, hit spans of ``least`` words or more are cut from the text."""
-    marked = judge(annotate(docs, items, window)).where("NOT _bad")
-    place = docs.columns.index("text")
+    marked = judge(annotate(docs, items, window)).where("NOT __vf_bad")
+    own = docs.columns
+    place = own.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
@@ -265,18 +266,18 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, least:
         word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
         for b in batches:
             texts = []
-            for t, spans in zip(b.column(place).cast(pa.binary()).to_pylist(), b.column(b.schema.get_field_index("_spans")).to_pylist(), strict=True):
+            for t, spans in zip(b.column(place).cast(pa.binary()).to_pylist(), b.column(b.schema.get_field_index("__vf_spans")).to_pylist(), strict=True):
                 spans = [s for s in spans if s[1] - s[0] >= least]
                 if spans:
                     at = [m.span() for m in word.finditer(t)]
                     for x, y in reversed(spans):
                         t = t[: at[x][0]] + t[at[y - 1][1] :]
                 texts.append(t)
-            columns = [b.column(k) for k in range(len(docs.columns))]
+            columns = [b.column(k) for k in range(len(own))]
             columns[place] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=own)
 
-    return marked.select(*docs.columns, "_spans").mapInArrow(cut, docs.schema)
+    return marked.select(*docs.columns, "__vf_spans").mapInArrow(cut, docs.schema)
 
 
 def items_digest(names: list[str]) -> str:

@@ -51,15 +51,15 @@ def boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES, least
 def clean(docs: DataFrame, site: str = "source", sites: int = SITES, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with boilerplate lines cut from text; adds n_lines and n_removed."""
     bad = save(boilerplate(docs, site, sites, least_words).select("h", "n_rows"), "boilerplate")
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
+    keyed = docs.withColumn("__vf_row", F.monotonically_increasing_id())
     keyed = save(keyed, "line_docs")
-    lines = keyed.select("_row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("_n", normal(F.col("line")))
-    lines = lines.where(F.regexp_count("_n", F.lit(WORDS)) >= least_words).select("_row", "pos", F.sha2("_n", 256).substr(1, 32).alias("h"))
+    lines = keyed.select("__vf_row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("_n", normal(F.col("line")))
+    lines = lines.where(F.regexp_count("_n", F.lit(WORDS)) >= least_words).select("__vf_row", "pos", F.sha2("_n", 256).substr(1, 32).alias("h"))
     total = bad.agg(F.sum("n_rows")).first()[0] or 0
-    gone = join_hot(lines, bad, ["h"], "n_rows", total).where("n_rows IS NOT NULL").groupBy("_row").agg(F.collect_set("pos").alias("_gone"))
-    out = keyed.join(gone, "_row", "left")
+    gone = join_hot(lines, bad, ["h"], "n_rows", total).where("n_rows IS NOT NULL").groupBy("__vf_row").agg(F.collect_set("pos").alias("__vf_gone"))
+    out = keyed.join(gone, "__vf_row", "left")
     parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda x, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i))
-    n = F.coalesce(F.size("_gone"), F.lit(0))
-    n = F.when(F.col("_gone").isNull(), 0).otherwise(n).cast("long")
-    return out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")).withColumn("n_removed", n).withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("_row", "_gone")
+    kept = F.filter(parts, lambda x, i: ~F.array_contains(F.coalesce("__vf_gone", F.array().cast("array<int>")), i))
+    n = F.coalesce(F.size("__vf_gone"), F.lit(0))
+    n = F.when(F.col("__vf_gone").isNull(), 0).otherwise(n).cast("long")
+    return out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")).withColumn("n_removed", n).withColumn("text", F.when(F.col("__vf_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("__vf_row", "__vf_gone")

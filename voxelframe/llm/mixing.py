@@ -10,7 +10,8 @@ random odds over inclusion odds, (u/(1-u)) / (p/(1-p)), and taken in that order
 remaining words are met; u comes from a hash of ``doc_id`` and the seed, so reruns agree.
 The cut is found in two histograms of the rank (cells of the source, then parts of the cell in
 which the cut lies), so no source is ever sorted as a whole; only the part of some LIST
-documents around the cut is gone through in order, taking what still fits.
+documents around the cut is gone through in order, taking what still fits and at last,
+if that comes nearer, the smallest one that doesn't.
 
 Defined results: null text has size 0; a source of size 0 has target 0; documents of size 0
 take no words; rows that repeat a doc_id in a source are taken or left together; null doc_id
@@ -94,7 +95,14 @@ def copies(docs: DataFrame, cap: float = 3.0, seed: int = 20, odds: str | None =
             F.when(fits, F.concat(acc["ids"], F.array(F.struct(x["z"].alias("z"), x["doc_id"].cast("bigint").alias("doc_id"))))).otherwise(acc["ids"]).alias("ids"),
         )
 
-    picked = listed.select("source", F.aggregate("l", start, step)["ids"].alias("ids"))
+    def last(left: Column, ids: Column, x: Column) -> Column:
+        """The smallest document that was left, if with it the words come nearer."""
+        rest = F.filter(x, lambda d: (d["size"] > 0) & ~F.exists(ids, lambda t: (t["z"] == d["z"]) & t["doc_id"].eqNullSafe(d["doc_id"])))
+        least = F.array_min(F.transform(rest, lambda d: F.struct(d["size"].alias("size"), d["z"].alias("z"), d["doc_id"].cast("bigint").alias("doc_id"))))
+        return F.when(least["size"] < 2 * left, F.concat(ids, F.array(F.struct(least["z"].alias("z"), least["doc_id"].alias("doc_id"))))).otherwise(ids)
+
+    gone = listed.select("source", "l", F.aggregate("l", start, step).alias("g"))
+    picked = gone.select("source", last(F.col("g.left"), F.col("g.ids"), F.col("l")).alias("ids"))
     picked = save(plan.select("source", "n_docs").join(second, plan.source.eqNullSafe(second.source), "left").drop(second.source).alias("a").join(picked.alias("b"), F.expr("a.source <=> b.source"), "left").select("a.source", F.col("n_docs").alias("n_in"), "cut_part", "ids"), "picked")
     done = join_hot(placed, picked, ["source"], "n_in", total).withColumn("part", F.least(F.floor(F.col("inner") * F.col("parts")), F.col("parts") - 1))
     listed_too = F.exists("ids", lambda x: (x["z"] == F.col("z")) & x["doc_id"].eqNullSafe(F.col("doc_id")))
@@ -108,4 +116,4 @@ def mix(docs: DataFrame, cap: float = 3.0, seed: int = 20) -> DataFrame:
     taken = copies(docs, cap, seed).where("copies > 0").groupBy("doc_id", "source").agg(F.max("copies").alias("_copies"))
     d, t = docs.alias("d"), taken.alias("t")
     both = d.join(t, F.expr("d.doc_id <=> t.doc_id AND d.source <=> t.source"))
-    return both.select("d.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_copy")
+    return both.select("d.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("t._copies"))).alias("__vf_copy")).drop("__vf_copy")

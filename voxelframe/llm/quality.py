@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 4) -> dict | None:
     x = np.clip((x - mean) / sd, -8, 8)
     bags = np.zeros((len(got), BUCKETS), np.float32)
     for i, (k, n) in enumerate(zip(got.k, got.n, strict=True)):
-        bags[i, np.asarray(k)] = np.asarray(n) / max(1, np.sum(n))
+        bags[i, np.asarray(k, np.int64)] = np.asarray(n, np.float32) / max(1, np.sum(n))
     take = lambda who: (x[who], bags[who])
     half = np.arange(len(got)) % 2 == 0
     first = _fit(take(kinds["p"] & half), take(kinds["u"] & half), 0.5, 6, seed, False) if (kinds["p"] & half).any() and (kinds["u"] & half).any() else None
@@ -202,4 +202,4 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score reaches the cut, with their own columns."""
-    return add_score(docs, fit(docs, labels), "_score").where(F.col("_score") >= CUT).select(*docs.columns)
+    return add_score(docs, fit(docs, labels), "__vf_score").where(F.col("__vf_score") >= CUT).select(*docs.columns)
