@@ -26,12 +26,12 @@ def annotate_points_floor(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(SQL + """, px AS (SELECT y, x, z, max(intensity_1) AS value FROM cells GROUP BY y, x, z), pt AS (SELECT DISTINCT y, x, z FROM cells WHERE class = 1)
-SELECT pt.y, pt.x, pt.z, round(avg(value), 4) AS mean, max(value) AS max, count(*) AS n_pixels FROM pt JOIN px ON px.z = pt.z AND px.y BETWEEN pt.y - 1 AND pt.y + 1 AND px.x BETWEEN pt.x - 1 AND pt.x + 1 GROUP BY ALL""")
+SELECT pt.y, pt.x, pt.z, round(avg(value), 6) AS mean, max(value) AS max, count(*) AS n_pixels FROM pt JOIN px ON px.z = pt.z AND px.y BETWEEN pt.y - 1 AND pt.y + 1 AND px.x BETWEEN pt.x - 1 AND pt.x + 1 GROUP BY ALL""")
 def neighbourhood_mean(spark: SparkSession, sf: str) -> DataFrame:
     c = views.cells(spark, sf)
     px = c.groupBy("y", "x", "z").agg(F.max("intensity_1").alias("value"))
     out = points.neighbourhood(c.where("class = 1").select("y", "x", "z").distinct(), px, ["y", "x", "z"])
-    return out.select("y", "x", "z", F.round("mean", 4).alias("mean"), "max", "n_pixels")
+    return out.select("y", "x", "z", F.round("mean", 6).alias("mean"), "max", "n_pixels")
 
 
 @query(SQL + "SELECT sample_id, y, x, z, annotation, CAST(class AS INTEGER) AS class FROM cells WHERE y BETWEEN 21 AND 29 AND x BETWEEN 4 AND 8 AND z BETWEEN 3 AND 5")
@@ -206,10 +206,10 @@ def mad_mode_median(spark: SparkSession, sf: str) -> DataFrame:
     return stats.median_mad(views.cells(spark, sf), ["sample_id"], "intensity_1").select("sample_id", r("median"), r("mad"), "mode", r("mean"), r("sd"))
 
 
-@query(SQL + MAD_SQL + ", pp AS (" + pct("intensity_1", 25) + ") SELECT sample_id, round(median + 2.5 * mad + 0.1 * percentile, 4) AS threshold FROM mm JOIN ma USING (sample_id) JOIN pp USING (sample_id)")
+@query(SQL + MAD_SQL + ", pp AS (" + pct("intensity_1", 25) + ") SELECT sample_id, round(median + 2.5 * mad + 0.1 * percentile, 6) AS threshold FROM mm JOIN ma USING (sample_id) JOIN pp USING (sample_id)")
 def threshold_expression(spark: SparkSession, sf: str) -> DataFrame:
     out = classify.expression_thresholds(views.cells(spark, sf), ["sample_id"], "intensity_1", "median + 2.5*mad + 0.1*prctile(25)")
-    return out.select("sample_id", F.round("threshold", 4).alias("threshold"))
+    return out.select("sample_id", F.round("threshold", 6).alias("threshold"))
 
 
 @query(SQL + "SELECT sample_id, CAST(CASE WHEN a AND b THEN 4 WHEN b THEN 3 WHEN a THEN 2 ELSE 1 END AS INTEGER) AS class, count(*) AS n FROM (SELECT sample_id, intensity_1 > 0.4 * 65535 AS a, intensity_2 > 0.04 AS b FROM cells) GROUP BY ALL")
