@@ -142,6 +142,19 @@ def test_html(name):
     assert html_extract.main_text(PAGE.format(name=name).replace(f'<div class="{name}">', "<article>").replace("</form></div>", "</form></article>")) == want
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ('<body class="has-sidebar"><div class="site-header">My site</div><div class="layout with-sidebar no-comments"><p>Some text of the page, which is long enough, and goes on.</p></div></body>', "Some text of the page, which is long enough, and goes on."),
+    ('<div class="ad-layout"><article><header><h1>Title</h1></header><p>Text.</p></article></div><div id="comments"><article class="comment-body"><p>Long reader comment, with commas, and much more text than the article has.</p></article></div>', "Title Text."),
+    ("<main><h2>A</h2><p>One,<br>two</p><pre>x  y</pre><table><tr><td>c1<td>c2</table></main><div role=complementary>Other</div>", "A One, two x y c1 c2"),
+    ("<p>a &lt;b&gt; &#228; &amp;amp; &nosuch; &hellip;</p>", "a <b> \u00e4 &amp; &nosuch; \u2026"),
+    ("text <b>bold</b>ly <!-- no --> <![CDATA[raw]]> end <", "text boldly raw end <"),
+    ('<div style="display:none">secret</div><noscript>no script</noscript><p title="a > b">shown</p>', "shown"),
+    ("<article><p>Text one.<ul><li><a href=1>Only</a><li><a href=2>links</a></ul><p>Text two.</article>", "Text one. Text two."),
+])
+def test_html_cases(html, want):
+    assert html_extract.main_text(html) == want
+
+
 def test_html_of_the_table(spark):
     from html import unescape
 

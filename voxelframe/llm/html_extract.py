@@ -41,6 +41,10 @@ CUT_WORDS = {
     "sidebar", "sidenav", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "trending", "widget", "widgets", "alert", "dialog", "alertdialog", "tablist",
 }
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Class names that tell of something elsewhere, or of a text's subject.
+ABOUT = re.compile(r"(has|no|not|with|without|is|category|cat|tag|type|format|status|lang|js)[-_]", re.I)
+#: Marks that hold even for what contains an article: such articles aren't the page's own.
+OTHERS = {"comment", "comments", "commentlist", "replies", "reply", "discussion", "disqus", "respond", "related", "recommend", "recommended", "sidebar", "promo", "trending"}
 #: Opening one of these ends an open one of those.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 #: An open p ends where one of these begins.
@@ -49,25 +53,57 @@ SCOPE = {"table", "article", "section", "main", "div", "body", "html", "ul", "ol
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "cut", "score", "chars", "links", "n")
+    __slots__ = ("tag", "parent", "kids", "cut", "soft", "score", "chars", "links", "n")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool):
-        self.tag, self.parent, self.cut = tag, parent, cut
+    def __init__(self, tag: str, parent: Node | None, cut: bool, soft: bool = False):
+        self.tag, self.parent, self.cut, self.soft = tag, parent, cut, soft
         self.kids: list[Node | str] = []
         self.score = 0.0
         self.chars = self.links = self.n = 0
 
 
-def _unwanted(tag: str, attrs: str, inside: bool) -> bool:
-    if tag in CUT or (tag == "header" and not inside):
-        return True
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+def _within(node: Node | None, tags: set[str]) -> bool:
+    while node is not None:
+        if node.tag in tags:
+            return True
+        node = node.parent
+    return False
+
+
+def _unwanted(tag: str, attrs: str, here: Node) -> tuple[bool, bool]:
+    """Whether an element is cut, and whether only by words that an article inside outweighs."""
+    if tag in CUT or (tag == "header" and not _within(here, {"article", "main"})):
+        return True, False
+    if not attrs or tag in ("html", "body", "main"):
+        return False, False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return True
-    marks = {w.lower() for k in ("class", "id", "role") if k in found for w in WORD.findall(found[k])}
-    return bool(marks & CUT_WORDS)
+        return True, False
+    names = [n for k in ("class", "id", "role") if k in found for n in found[k].split() if not ABOUT.match(n)]
+    words = [[w.lower() for w in WORD.findall(n)] for n in names]
+    if tag == "article":
+        return any(w and w[0] in OTHERS for w in words), False
+    marks = {x for w in words for x in w}
+    page_header = any("header" in w and not {"article", "post", "entry", "content", "story"} & set(w) for w in words) and not _within(here, {"article", "main"}) and tag in ("div", "section", "td", "table", "tr")
+    hit = marks & CUT_WORDS
+    return bool(hit) or page_header, not hit & OTHERS
+
+
+def _settle(root: Node) -> Node:
+    """Cuts by words don't hold around the page's own article; what lies in a cut element is cut."""
+    order = [n for n, enter in _walk(root) if enter]
+    for node in order:
+        if node.tag in ("article", "main") and not node.cut:
+            path, up = [], node.parent
+            while up is not None and not (up.cut and not up.soft):
+                path.append(up)
+                up = up.parent
+            if up is None:
+                for n in path:
+                    n.cut = False
+    for node in order:
+        node.cut = node.cut or (node.parent is not None and node.parent.cut)
+    return root
 
 
 def parse(html: str) -> Node:
@@ -115,8 +151,7 @@ def parse(html: str) -> Node:
                     here = node = node.parent
         if tag == "body":
             here = root  # whatever the head left open
-        inside = here.tag == "article"
-        child = Node(tag, here, here.cut or _unwanted(tag, attrs, inside))
+        child = Node(tag, here, *_unwanted(tag, attrs, here))
         here.kids.append(child)
         if tag in RAW:
             stop = RAW_END[tag].search(html, at)
@@ -125,7 +160,7 @@ def parse(html: str) -> Node:
             here = child
         elif attrs.endswith("/") and tag not in VOID and tag in BLOCK | {"span", "a", "b", "i"}:
             here = child  # HTML ignores the slash
-    return root
+    return _settle(root)
 
 
 def _walk(root: Node) -> list[tuple[Node, bool]]:
