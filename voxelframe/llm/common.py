@@ -84,7 +84,8 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, to
     ``right`` has one row per key and a column ``weight``: how many rows of ``left`` have
     the key; ``total`` is their sum. Keys with more than total / HOT_SHARE rows are fewer
     than HOT_SHARE, so that part of ``right`` is broadcast; rows of these keys are dealt by
-    a random salt, all others by the key. Null keys match null keys. No row is moved twice.
+    a hash of the whole row (a task that runs again deals alike), all others by the key. Null
+    keys match null keys. No row is moved twice.
     """
     values = [c for c in right.columns if c not in keys]
     least = max(1, total // HOT_SHARE)
@@ -98,7 +99,7 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, to
     hot = right.where(F.col(weight) > least).select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.struct(*values).alias("_hot"))
     cold = right.where(F.col(weight) <= least).select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.struct(*values).alias("_cold"), F.lit(-1).alias("_c_salt"))
     a = left.join(F.broadcast(hot), same(left, hot, [(k, f"_h_{k}") for k in keys]), "left")
-    a = a.drop(*[f"_h_{k}" for k in keys]).withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(-1)).otherwise((F.rand(7) * 2147483646).cast("int")))
+    a = a.drop(*[f"_h_{k}" for k in keys]).withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(2147483647)).cast("int")))
     b = a.join(cold, same(a, cold, [("_salt", "_c_salt")] + [(k, f"_c_{k}") for k in keys]), "left")
     picked = F.coalesce(F.col("_hot"), F.col("_cold"))
     return b.select(*left.columns, *[picked[v].alias(v) for v in values])
