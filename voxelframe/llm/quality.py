@@ -86,15 +86,47 @@ class Net:
             self.p[k] = self.p[k] - rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
 
 
-def _fit(pos: tuple, unl: tuple, prior: float, epochs: int, seed: int, pu: bool) -> Net:
+class Bags:
+    """Shares of hashed words of many texts, kept sparse; ``bags[rows]`` is dense."""
+
+    def __init__(self, keys: list[np.ndarray], counts: list[np.ndarray]):
+        self.ends = np.cumsum([0, *map(len, keys)])
+        self.keys = np.concatenate([np.zeros(0, np.int16), *keys]).astype(np.int16)
+        self.values = np.concatenate([np.zeros(0, np.float32), *(np.asarray(n, np.float32) / max(1, np.sum(n)) for n in counts)]).astype(np.float32)
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), BUCKETS), np.float32)
+        for i, r in enumerate(rows):
+            part = slice(self.ends[r], self.ends[r + 1])
+            out[i, self.keys[part]] = self.values[part]
+        return out
+
+
+class Rows:
+    """Some texts' measures and words, taken a batch at a time."""
+
+    def __init__(self, x: np.ndarray, bags: Bags, which: np.ndarray):
+        self.x, self.bags, self.which = x, bags, which
+
+    def __len__(self) -> int:
+        return len(self.which)
+
+    def batch(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.x[self.which[k]], self.bags[self.which[k]]
+
+    def logits(self, net: Net) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(net.forward(*self.batch(k))[0] for k in np.array_split(np.arange(len(self)), len(self) // 512 + 1))])
+
+
+def _fit(pos: Rows, unl: Rows, prior: float, epochs: int, seed: int, pu: bool) -> Net:
     """Non-negative PU risk, or with ``pu`` false plain logistic loss of positives against unlabelled."""
-    net, r = Net(pos[0].shape[1], seed), np.random.default_rng(seed)
-    batches = max(1, (len(pos[0]) + len(unl[0])) // 256)
+    net, r = Net(pos.x.shape[1], seed), np.random.default_rng(seed)
+    batches = max(1, (len(pos) + len(unl)) // 256)
     for e in range(epochs):
-        for a, b in zip(np.array_split(r.permutation(len(pos[0])), batches), np.array_split(r.permutation(len(unl[0])), batches), strict=True):
+        for a, b in zip(np.array_split(r.permutation(len(pos)), batches), np.array_split(r.permutation(len(unl)), batches), strict=True):
             if not len(a) or not len(b):
                 continue
-            x, bags = np.concatenate([pos[0][a], unl[0][b]]), np.concatenate([pos[1][a], unl[1][b]])
+            x, bags = map(np.concatenate, zip(pos.batch(a), unl.batch(b), strict=True))
             g, h = net.forward(x, bags)
             n, s = len(a), sigmoid(g)
             d = np.zeros_like(g)
@@ -126,10 +158,6 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     return float(np.clip(best, 0.05, 0.98))
 
 
-def bag(ids: np.ndarray) -> np.ndarray:
-    return np.bincount(ids, minlength=BUCKETS).astype(np.float32) / max(1, len(ids))
-
-
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 4) -> dict | None:
     """The model (arrays only) from at most the documented number of rows; None without positives."""
     marked = marks(labels, "quality", MOD, HELD_OUT)
@@ -155,18 +183,17 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 4) -> dict | None:
     x = np.stack(got.x.to_list()).astype(np.float64)
     mean, sd = x[kinds["u"]].mean(0), x[kinds["u"]].std(0) + 1e-3
     x = np.clip((x - mean) / sd, -8, 8)
-    bags = np.zeros((len(got), BUCKETS), np.float32)
-    for i, (k, n) in enumerate(zip(got.k, got.n, strict=True)):
-        bags[i, np.asarray(k, np.int64)] = np.asarray(n, np.float32) / max(1, np.sum(n))
-    take = lambda who: (x[who], bags[who])
-    half = np.arange(len(got)) % 2 == 0
+    bags = Bags(list(got.k), list(got.n))
+    y = got.y.to_numpy()
+    del got
+    take = lambda who: Rows(x, bags, np.flatnonzero(who))
+    half = np.arange(len(y)) % 2 == 0
     first = _fit(take(kinds["p"] & half), take(kinds["u"] & half), 0.5, 6, seed, False) if (kinds["p"] & half).any() and (kinds["u"] & half).any() else None
     a, b = kinds["p"] & ~half, kinds["u"] & ~half
-    prior = estimate_prior(first.forward(*take(a))[0], first.forward(*take(b))[0]) if first and a.any() and b.any() else 0.5
+    prior = estimate_prior(take(a).logits(first), take(b).logits(first)) if first and a.any() and b.any() else 0.5
     net = _fit(take(kinds["p"]), take(kinds["u"]), prior, 14, seed, True)
     who = kinds["c"]
-    y = got.y.to_numpy()[who]
-    scale = platt(net.forward(*take(who))[0], y, np.ones(len(y)))
+    scale = platt(take(who).logits(net), y[who], np.ones(int(who.sum())))
     return {"p": net.p, "mean": mean, "sd": sd, "scale": scale, "prior": prior}
 
 
