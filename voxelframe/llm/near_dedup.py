@@ -6,16 +6,20 @@
    even one huge region of like signatures spreads over many tasks.
 3. Neighbours in a sorted order whose longest common prefix is MINIMUM or more are
    candidates; the sort puts the deepest agreement next to each other, so the depth adapts to
-   how crowded a region is. Candidates are confirmed on the full sets; links join components.
+   how crowded a region is. Candidates whose whole signatures leave SCREEN possible are
+   confirmed on the full sets; links join components.
 4. A region (the run of one tree that shares the first MINIMUM hashes) whose members are not
    all in one component is gone through again: every member that is not in the
-   region's largest component meets all blocks of the region, and pairs of different components whose
-   signatures leave SCREEN possible are confirmed. After that no two documents that
-   share a prefix of MINIMUM in any tree are left uncompared unless already joined.
+   region's largest component meets all blocks of the region. Pairs of different components
+   are settled on the full sets inside the task, the likest first, each pair in the first tree that has
+   it only, and none that links found in the task have joined already; only links leave the
+   task, never pairs. After that no two documents that share a prefix of MINIMUM in any tree
+   are left uncompared unless joined.
 5. Components are joined by least labels and pointer jumping, with every pass saved.
 
 The chance that two documents of similarity s share no prefix is (1 - s**MINIMUM)**TREES:
-with 5 and 20 that is 1e-5 at 0.85. Shingles are 64-bit hashes; links are confirmed on the full
+with 5 and 20 that is 1e-5 at 0.85. The share of equal hashes of two signatures has a standard
+error of 0.028 there, so SCREEN lies over four of them below. Shingles are 64-bit hashes; links are confirmed on the full
 sets of these.
 
 Defined results: texts without words (null and empty too) have empty sets and stay alone;
@@ -27,7 +31,7 @@ passed by ``keep``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +44,7 @@ from .language_model import LOWER
 SHINGLE, PERCENT = 5, 85
 TREES, DEPTH, MINIMUM = 20, 8, 5
 #: Rows of a block in which members of a mixed region meet; likeness of signatures under which a pair is ruled out.
-BLOCK, SCREEN = 256, 0.6
+BLOCK, SCREEN = 512, 0.73
 _r = np.random.default_rng(85)
 FACTORS = _r.integers(1 << 62, 1 << 63, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
 SHIFTS = _r.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
@@ -142,12 +146,19 @@ def neighbours(trees: DataFrame) -> DataFrame:
     return found.where("NOT edge").select("a", "b").unionByName(ends)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough."""
-    both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    both = save(both, "pairs")
-    wanted = both.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(wanted, "id", "left_semi")
+def likeness(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets are alike enough."""
+    n, m = len(a), len(b)
+    if 100 * min(n, m) < PERCENT * max(n, m):
+        return False
+    z = np.sort(np.concatenate([a, b]), kind="stable")
+    shared = int((z[1:] == z[:-1]).sum())
+    return 100 * shared >= PERCENT * (n + m - shared)
+
+
+def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, s (the sorted shingle hashes as bytes) of the documents named, saved."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -155,27 +166,25 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             got = [hasher.shingles(words_of(t.as_py())).tobytes() for t in b.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(got, pa.binary())], names=["id", "s"])
 
-    known = save(texts.mapInArrow(sets, "id bigint, s binary").dropDuplicates(["id"]), "sets")
+    return save(texts.mapInArrow(sets, "id bigint, s binary").dropDuplicates(["id"]), "sets")
+
+
+def matched(pairs: DataFrame, table: DataFrame, column: str, test: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
+    """The pairs (a, b) that pass a test on what ``table`` (id, column) has of both."""
+    left = pairs.join(table.select(F.col("id").alias("a"), F.col(column).alias("x")), "a")
+    paired = left.join(table.select(F.col("id").alias("b"), F.col(column).alias("y")), "b").select("a", "b", "x", "y")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                n, m = len(x), len(y)
-                if 100 * min(n, m) < PERCENT * max(n, m):
-                    ok.append(False)
-                    continue
-                z = np.sort(np.concatenate([x, y]), kind="stable")
-                shared = int((z[1:] == z[:-1]).sum())
-                ok.append(100 * shared >= PERCENT * (n + m - shared))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
-
-    left = both.join(known.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
-    paired = left.join(known.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
-    out = save(paired.mapInArrow(check, "a bigint, b bigint, ok boolean").where("ok").select("a", "b"), "links")
-    release(known, both)
-    return out
+            ok = [test(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column("x"), b.column("y"), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return paired.mapInArrow(check, "a bigint, b bigint")
+
+
+def possible(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two signatures leave the likeness possible."""
+    return float((a.view(np.uint32) == b.view(np.uint32)).mean()) >= SCREEN
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -207,61 +216,98 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def mixed_pairs(trees: DataFrame, labels: DataFrame, sketch: DataFrame) -> DataFrame:
-    """a, b: pairs that share a region but no component, and that their signatures don't rule out."""
-    size = 4 * MINIMUM
-    placed = trees.select("tree", F.substring("sig", 1, size).alias("region"), "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+def mixed_regions(trees: DataFrame, labels: DataFrame) -> DataFrame:
+    """tree, region, id, label, stray, home, block: who meets where, in regions of several components.
+
+    Every member is at home in one block of its region; those outside the region's largest
+    component, the strays, visit all blocks.
+    """
+    placed = trees.select("tree", F.substring("sig", 1, 4 * MINIMUM).alias("region"), "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     held = placed.groupBy("tree", "region", "label").agg(F.count("*").alias("n"))
     regions = held.groupBy("tree", "region").agg(F.count("*").alias("k"), F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top")).where("k > 1")
     regions = save(regions.select("tree", "region", "size", F.col("top.label").alias("top")), "mixed")
     total = regions.agg(F.sum("size")).first()[0] or 0
     members = join_hot(placed, regions, ["tree", "region"], "size", total).where("size IS NOT NULL")
     blocks = F.ceil(F.col("size") / BLOCK)
-    home = F.pmod(F.xxhash64("id"), blocks)
-    stray = F.col("label") != F.col("top")
-    members = members.select("tree", "region", "id", "label", stray.alias("stray"), home.alias("home"), blocks.alias("blocks"))
-    # every member is at home in one block; strays visit all of them
-    calls = members.select("tree", "region", "id", "label", "stray", "home", F.when(F.col("stray"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("home")).alias("to"))
-    calls = calls.select("tree", "region", "id", "label", "stray", "home", F.explode("to").alias("block")).join(sketch, "id")
-
-    def meet(key: tuple, t: pa.Table) -> pa.Table:
-        ids, labels_, strays = (t.column(c).to_numpy() for c in ("id", "label", "stray"))
-        here = t.column("home").to_numpy() == key[2].as_py()
-        sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), ">u4").reshape(len(ids), -1)
+    members = members.select("tree", "region", "id", "label", (F.col("label") != F.col("top")).alias("stray"), F.pmod(F.xxhash64("id"), blocks).alias("home"), blocks.alias("blocks"))
+    visits = F.when(F.col("stray"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("home"))
+    return members.select("tree", "region", "id", "label", "stray", "home", F.explode(visits).alias("block"))
+
+
+def _meetings(key: tuple, t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each stray of a block: its place, those at home there that may be like it, and how alike their signatures are."""
+    tree, block = key[0].as_py(), key[2].as_py()
+    ids, labels, strays = (t.column(c).to_numpy() for c in ("id", "label", "stray"))
+    here = t.column("home").to_numpy() == block
+    sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), ">u4").reshape(len(ids), TREES, DEPTH)
+    for i in np.flatnonzero(strays):
+        # two strays meet where the one of the lesser id is at home
+        who = np.flatnonzero(here & (labels != labels[i]) & (~strays | (ids < ids[i])))
+        if len(who):
+            same = sigs[who] == sigs[i]
+            alike = same.mean((1, 2))
+            first = same[:, :, :MINIMUM].all(2).argmax(1) == tree
+            take = (alike >= SCREEN) & first
+            if take.any():
+                yield int(i), who[take], alike[take]
+
+
+def settle(calls: DataFrame, sketch: DataFrame, known: DataFrame) -> DataFrame:
+    """a, b: links between components that regions of several components hide."""
+    keys = ["tree", "region", "block"]
+    kinds = "tree int, region binary, block bigint, id bigint, label bigint, stray boolean, home bigint"
+
+    def involved(key: tuple, t: pa.Table) -> pa.Table:
+        take = np.zeros(len(t), bool)
+        for i, who, _ in _meetings(key, t):
+            take[i] = True
+            take[who] = True
+        return t.filter(pa.array(take)).select([c.split()[0] for c in kinds.split(", ")])
+
+    def links(key: tuple, t: pa.Table) -> pa.Table:
+        ids, labels = t.column("id").to_pylist(), t.column("label").to_pylist()
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("s")]
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        pairs = [(-float(s), i, int(j)) for i, who, alike in _meetings(key, t) for j, s in zip(who, alike, strict=True)]
         a, b = [], []
-        for i in np.flatnonzero(strays):
-            # the pair is settled where the other one is at home; two strays, at the home of the lesser id
-            who = here & (labels_ != labels_[i]) & (~strays | (ids < ids[i]))
-            who = np.flatnonzero(who)
-            if len(who):
-                alike = (sigs[who] == sigs[i]).mean(1)
-                for j in who[alike >= SCREEN]:
-                    a.append(int(ids[i]))
-                    b.append(int(ids[j]))
+        for _, i, j in sorted(pairs):
+            p, q = find(labels[i]), find(labels[j])
+            if p != q and likeness(sets[i], sets[j]):
+                up[p] = q
+                a.append(ids[i])
+                b.append(ids[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return calls.groupBy("tree", "region", "block").applyInArrow(meet, "a bigint, b bigint")
+    met = save(calls.join(sketch, "id").groupBy(*keys).applyInArrow(involved, kinds), "meetings")
+    return save(met.join(sketch, "id").join(known, "id").groupBy(*keys).applyInArrow(links, "a bigint, b bigint"), "more_links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     rows = sketches(docs)
     real = rows.where("doc_id IS NOT NULL AND same IS NOT NULL")
-    groups = save(real.groupBy("same").agg(F.min_by(F.struct("sig", "n_shingles"), "doc_id").alias("x"), F.min("doc_id").alias("id"), F.count("*").alias("n")).select("same", "id", "n", "x.sig"), "groups")
+    groups = save(real.groupBy("same").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("id"), F.count("*").alias("n")), "groups")
     sketch = groups.select("id", "sig").dropDuplicates(["id"])
     width = 4 * DEPTH
-    trees = save(sketch.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.substring(F.col("sig"), k * width + 1, F.lit(width)))).alias("tree", "sig")), "trees")
-    links = confirm(neighbours(trees), docs)
+    trees = groups.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.substring(F.col("sig"), k * width + 1, F.lit(width)))).alias("tree", "sig"))
+    pairs = save(neighbours(trees).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+    # whoever shares a region with another is next to one of its members
+    known = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs)
+    links = save(matched(save(matched(pairs, sketch, "sig", possible), "possible"), known, "s", likeness), "links")
     labels = components(links)
-    more = save(mixed_pairs(trees, labels, sketch), "candidates")
+    more = settle(mixed_regions(trees, labels), sketch, known)
     if not more.isEmpty():
-        links = links.unionByName(confirm(more, docs))
-        labels = components(links)
-    release(trees, more)
+        labels = components(links.unionByName(more))
+    release(known, pairs)
     named = groups.join(labels, "id", "left").select("same", "n", F.coalesce("label", "id").alias("component"))
-    # a document that rows repeat with other texts joins what each of them is linked with
     total = groups.agg(F.sum("n")).first()[0] or 0
-    out = join_hot(rows, named, ["same"], "n", total)
+    out = join_hot(rows.drop("sig"), named, ["same"], "n", total)
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
 
 
