@@ -254,7 +254,7 @@ def test_long_chains_join(spark):
 
 def test_line_dedup(spark, docs):
     frame = docs.unionByName(spark.createDataFrame([(9000 + k, f"Own line number {k} here.\nThe  SAME line of every site.\nshort line\n", "en", f"site{k % 9}", 1) for k in range(30)], docs.schema))
-    norm = lambda x: " ".join(WORD.findall(x.translate(LOWER)))
+    norm = lambda x: " ".join(WORD.findall(x.lower()))
     sites: dict[str, set] = {}
     all_rows = frame.collect()
     for r in all_rows:

@@ -1,7 +1,7 @@
 """Removal of lines that many sites share, by distinct-site sketches.
 
-Lines are split at line feeds, lower-cased (A-Z), white-space runs made one space, trimmed. Per
-line hash, the sites are put into HyperLogLog sketches, which merge by aggregation
+Lines are split at line feeds, lower-cased, white-space runs made one space, trimmed, and
+hashed (128 bits) once. Per line hash, the sites are put into HyperLogLog sketches, which merge by aggregation
 (first per line and site, on the map side, so a line that every page has moves few rows).
 A line whose estimate lies MARGIN standard errors from the threshold is decided by the sketch;
 the others get an exact distinct count. Lines of a document that are boilerplate go.
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORDS, join_hot, lower_ascii, save
+from .common import SPACES, join_hot, release, save
 
 #: Sites from which on a line is boilerplate; the fewest words of a line that counts.
 SITES, LEAST_WORDS = 6, 4
@@ -26,40 +26,42 @@ ERROR = 1.04 / (1 << LG_K) ** 0.5
 
 
 def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(lower_ascii(line), SPACES, " "))
+    return F.trim(F.regexp_replace(F.lower(line), SPACES, " "))
 
 
-def line_hashes(docs: DataFrame, site: str, least_words: int) -> DataFrame:
-    lines = docs.select(F.coalesce(F.col(site).cast("string"), F.lit("\0")).alias("site"), F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.select("site", normal(F.col("line")).alias("line"))
-    return lines.where(F.regexp_count("line", F.lit(WORDS)) >= least_words).select(F.sha2("line", 256).substr(1, 32).alias("h"), "site")
+def line_hashes(rows: DataFrame, site: str, least_words: int) -> DataFrame:
+    """__vf_row, site, pos, h, g (two hashes of the normal line) of the lines that count; saved."""
+    lines = rows.select("__vf_row", F.coalesce(F.col(site).cast("string"), F.lit("\0")).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = lines.withColumn("line", normal(F.col("line")))
+    spaces = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
+    counts = (F.col("line") != "") & (spaces + 1 >= least_words)
+    return save(lines.where(counts).select("__vf_row", "site", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("line"), "line").alias("g")), "lines")
 
 
-def boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Hashes of the lines that ``sites`` or more distinct sites have: h, n_sites (exact where near), n_rows, exact."""
-    pairs = save(line_hashes(docs, site, least_words).groupBy("h", "site").agg(F.count("*").alias("n")), "line_sites")
-    seen = pairs.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.sum("n").alias("n_rows"))
-    guess = seen.select("h", "n_rows", F.hll_sketch_estimate("sketch").alias("n"))
+def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
+    """Hashes of the lines that ``sites`` or more distinct sites have: h, g, n_sites (exact where near), n_rows, exact."""
+    pairs = save(lines.groupBy("h", "g", "site").agg(F.count("*").alias("n")), "line_sites")
+    seen = pairs.groupBy("h", "g").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.sum("n").alias("n_rows"))
+    guess = seen.select("h", "g", "n_rows", F.hll_sketch_estimate("sketch").alias("n"))
     low, high = sites / (1 + MARGIN * ERROR), sites / (1 - MARGIN * ERROR)
     guess = save(guess.where(F.col("n") >= F.floor(F.lit(low))), "line_spread")
-    near = guess.where(F.col("n") <= F.ceil(F.lit(high))).select("h")
-    counted = pairs.join(near, "h", "left_semi").groupBy("h").agg(F.countDistinct("site").alias("n_sites"), F.sum("n").alias("n_rows")).where(F.col("n_sites") >= sites)
-    sure = guess.where(F.col("n") > F.ceil(F.lit(high))).select("h", F.col("n").alias("n_sites"), "n_rows", F.lit(False).alias("exact"))
+    near = guess.where(F.col("n") <= F.ceil(F.lit(high))).select("h", "g")
+    counted = pairs.join(near, ["h", "g"], "left_semi").groupBy("h", "g").agg(F.countDistinct("site").alias("n_sites"), F.sum("n").alias("n_rows")).where(F.col("n_sites") >= sites)
+    sure = guess.where(F.col("n") > F.ceil(F.lit(high))).select("h", "g", F.col("n").alias("n_sites"), "n_rows", F.lit(False).alias("exact"))
     return sure.unionByName(counted.withColumn("exact", F.lit(True)))
 
 
 def clean(docs: DataFrame, site: str = "source", sites: int = SITES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with boilerplate lines cut from text; adds n_lines and n_removed."""
-    bad = save(boilerplate(docs, site, sites, least_words).select("h", "n_rows"), "boilerplate")
-    keyed = docs.withColumn("__vf_row", F.monotonically_increasing_id())
-    keyed = save(keyed, "line_docs")
-    lines = keyed.select("__vf_row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("_n", normal(F.col("line")))
-    lines = lines.where(F.regexp_count("_n", F.lit(WORDS)) >= least_words).select("__vf_row", "pos", F.sha2("_n", 256).substr(1, 32).alias("h"))
+    """``docs`` with boilerplate lines cut from text; n_lines and n_removed are added or replaced."""
+    keyed = save(docs.withColumn("__vf_row", F.monotonically_increasing_id()), "line_docs")
+    lines = line_hashes(keyed, site, least_words)
+    bad = save(boilerplate(lines, sites).select("h", "g", "n_rows"), "boilerplate")
     total = bad.agg(F.sum("n_rows")).first()[0] or 0
-    gone = join_hot(lines, bad, ["h"], "n_rows", total).where("n_rows IS NOT NULL").groupBy("__vf_row").agg(F.collect_set("pos").alias("__vf_gone"))
+    found = join_hot(lines.select("__vf_row", "pos", "h", "g"), bad, ["h", "g"], "n_rows", total).where("n_rows IS NOT NULL")
+    gone = save(found.groupBy("__vf_row").agg(F.collect_set("pos").alias("__vf_gone")), "gone")
+    release(lines)
     out = keyed.join(gone, "__vf_row", "left")
     parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda x, i: ~F.array_contains(F.coalesce("__vf_gone", F.array().cast("array<int>")), i))
-    n = F.coalesce(F.size("__vf_gone"), F.lit(0))
-    n = F.when(F.col("__vf_gone").isNull(), 0).otherwise(n).cast("long")
+    kept = F.filter(parts, lambda x, i: ~F.array_contains("__vf_gone", i))
+    n = F.when(F.col("__vf_gone").isNull(), 0).otherwise(F.size("__vf_gone")).cast("long")
     return out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")).withColumn("n_removed", n).withColumn("text", F.when(F.col("__vf_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("__vf_row", "__vf_gone")
