@@ -96,12 +96,21 @@ class Counts:
         self.ends = (table.where(~known).agg(F.sum("n")).first()[0]) or 0
         self.n = sum(n for n, _ in by_class.values()) + self.ends
         self.v = sum(v for _, v in by_class.values()) + (self.ends > 0)
-        top = table.where(known).orderBy(F.col("n").desc(), "word").limit(KNOWN).collect()
+        # the count from which on a word is frequent, by a histogram of logarithms: some thousand rows whatever the input
+        steps = table.where(known).groupBy(F.floor(F.log2("n") * 64).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.col("step").desc()).collect()
+        held, least = 0, 0
+        for r in steps:
+            held += r["words"]
+            if held > KNOWN:
+                break
+            least = r["n"]
+        top = table.where(known & (F.col("n") >= least)).collect() if least else []
+        top.sort(key=lambda r: (-r["n"], r["word"]))
         self.words = [r["word"].encode() for r in top]
         count = np.array([r["n"] for r in top], np.float64)
         kind = np.array([r["class"] for r in top], np.int32)
         size = min(len(top), VOCAB - 1)
-        self.least = float(count[-1]) if len(top) == KNOWN else 0.0
+        self.below = least if held > len(top) else 0  # words with fewer have to be joined
         # the network's words: 0 is the end, then the most frequent; classes are runs of EACH words
         self.vocab = np.concatenate([[max(self.ends, 0.5)], count[:size], np.full(VOCAB - 1 - size, 1e-3)])
         left = np.array([by_class.get(c, (0, 0)) for c in range(RARE)], np.float64)
@@ -410,14 +419,15 @@ def score(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = save(docs.select("doc_id", "text").mapInArrow(run, f"row bigint, doc_id {kind}, n_tokens bigint, known bigint, base double, lm double, words array<string>, times array<int>"), "scored")
     # words that few texts have: join their counts, once for each document and word
-    rest = table.where(F.col("word").isNotNull()).where(F.col("n") <= counts.least if counts.least else F.lit(False))
+    everything = not counts.words and counts.v > 0
+    rest = table.where(F.col("word").isNotNull()).where(F.lit(True) if everything else F.col("n") < counts.below)
     total = F.element_at(F.array(*[F.lit(float(x)) for x in counts.rare_total]), F.col("class") + 1)
     norm = counts.n + 0.1 * (counts.v + 1)
     unseen = math.log10(0.1 / norm)
     rest = rest.select(F.xxhash64("word").alias("h"), "n")
     seen = base.select("row", F.explode(F.arrays_zip("words", "times")).alias("x"))
     seen = seen.select("row", F.xxhash64("x.words").alias("h"), F.col("x.times").alias("times"), (F.crc32(F.expr("substring(cast(x.words as binary), greatest(octet_length(x.words) - 1, 1), 2)")) % RARE).cast("int").alias("class"))
-    joined = seen.join(rest, "h", "left") if counts.least else seen.withColumn("n", F.lit(None).cast("bigint"))
+    joined = seen.join(rest, "h", "left") if counts.below or everything else seen.withColumn("n", F.lit(None).cast("bigint"))
     c = F.coalesce("n", F.lit(0))
     added = joined.groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).cast("bigint").alias("_known"),
