@@ -50,6 +50,22 @@ def test_lm_base(spark, docs, texts, monkeypatch, known):
     assert sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"])
 
 
+def test_lm_learns_from_every_training_document(spark, docs, monkeypatch):
+    weights, plain = [], language_model.save
+
+    def save(df, name):
+        out = plain(df, name)
+        if name == "fitted":
+            weights.append(out.agg(F.sum("weight")).first()[0])
+        return out
+
+    monkeypatch.setattr(language_model, "save", save)
+    counts = language_model.Counts(language_model.count_words(docs))
+    language_model.fit(docs, counts, spark.sparkContext.broadcast(counts))
+    assert len(weights) == language_model.ROUNDS and all(weights)
+    assert sum(weights) == counts.n  # words and ends of all training texts, each fitted once
+
+
 def test_lm_gradients():
     m = language_model
     r = np.random.default_rng(0)

@@ -8,8 +8,8 @@
    model.
 3. Training: truncated back-propagation through WINDOW words, state carried from window to
    window of a document. ROUNDS times, shards of the training texts are fitted side by side from the same
-   start and their parameters averaged. One document in SHARE, by hash, is fitted in
-   each round, so what is learned from grows with the input; counts cover all.
+   start and their parameters averaged. Each round takes its own part of the documents, by hash;
+   together the rounds fit every training document once.
 4. Scoring runs whole documents, many side by side, each in its own lane with its own state.
 
 Frequent words (at most KNOWN, a bound on what is broadcast) have their counts at hand while a text is
@@ -40,7 +40,7 @@ from .common import save
 MOD, HELD_OUT = 10, 0
 VOCAB, CLASSES, RARE, KNOWN = 2000, 40, 24, 100_000
 HIDDEN, DIM, WINDOW, LANES, TRAIN_LANES = 16, 16, 16, 512, 48
-SHARE, ROUNDS, SHARD_TOKENS, MOST_SHARDS = 24, 2, 400_000, 1024
+ROUNDS, SHARD_TOKENS, MOST_SHARDS = 2, 400_000, 1024
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 EACH = VOCAB // CLASSES
 
@@ -331,8 +331,8 @@ def fit(docs: DataFrame, counts: Counts, shared: object) -> dict:
     params = start(counts)
     if not counts.n:
         return params
-    shards = max(1, min(MOST_SHARDS, math.ceil(counts.n / SHARE / SHARD_TOKENS)))
-    turn = F.crc32(F.concat(F.lit("lm:"), F.col("doc_id").cast("string")).cast("binary")) % SHARE
+    shards = max(1, min(MOST_SHARDS, math.ceil(counts.n / ROUNDS / SHARD_TOKENS)))
+    turn = F.crc32(F.concat(F.lit("lm:"), F.col("doc_id").cast("string")).cast("binary")) % ROUNDS
     for k in range(ROUNDS):
         begin = spark.sparkContext.broadcast(params)
         rate = 0.01 / (1 + k)
