@@ -7,7 +7,8 @@ import math
 import duckdb
 import pytest
 
-from voxelframe.plans import ORACLE, QUERIES
+from voxelframe.operators import points
+from voxelframe.plans import ORACLE, QUERIES, views
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -43,6 +44,46 @@ def test_plan(spark, duck, name):
         assert all(p == q or (isinstance(p, float) and q is not None and math.isclose(p, q, rel_tol=1e-9, abs_tol=1.1e-6)) for p, q in zip(x, y, strict=True)), (x, y)
 
 
+def cells_of(spark, *columns):
+    return {tuple(r) for r in views.cells(spark, SF).select(*columns).distinct().collect()}
+
+
+def apart(p, q):
+    return sum((a - b) ** 2 for a, b in zip(p, q, strict=True))
+
+
+def test_touching_removal_of_all_points(spark):
+    at = sorted(cells_of(spark, "y", "x", "z"))  # in the order of the plan's ids
+    gone, found = set(), set(at)
+    for y, x, z in at:
+        ball = [q for b in range(-2, 3) for a in range(-2, 3) for c in range(-2, 3) if a * a + b * b + c * c <= 4 and (q := (y + a, x + b, z + c)) in found]
+        gone |= set(ball) - {min(ball)}
+    got = {tuple(r) for r in QUERIES["touching_removal_all"](spark, SF).collect()}
+    assert gone and got == found - gone
+
+
+def test_nearest_neighbour_of_all_points(spark):
+    asks, others = ({p[1:] for p in cells_of(spark, "class", "y", "x", "z") if p[0] == c} for c in (1, 2))
+    number = lambda p: p[0] + (p[1] - 1) * 50 + (p[2] - 1) * 550
+    got = {r["id"]: (r["other"], r["distance"]) for r in QUERIES["nearest_neighbour_all"](spark, SF).collect()}
+    assert set(got) == {number(p) for p in asks}
+    for p in asks:
+        d2, other = min((apart(p, q), number(q)) for q in others)
+        assert got[number(p)] == (other, round(math.sqrt(d2), 6))
+
+
+def test_nearest_any_reaches_far_points(spark):
+    at = spark.createDataFrame([(1, 0, 0, 0), (2, 900, 0, 0)], "id bigint, y int, x int, z int")
+    there = spark.createDataFrame([(7, 1, 0, 0), (8, 500, 0, 0)], "id bigint, y int, x int, z int")
+    assert {tuple(r) for r in points.nearest_any(at, there, 2.0).collect()} == {(1, 7, 1.0), (2, 8, 400.0)}
+    assert points.nearest_any(at, there.limit(0), 2.0).count() == 0
+
+
+def test_patches_of_all_points(spark):
+    asked = {p for p in cells_of(spark, "class", "y", "x", "z") if p[0] == 1 and 3 <= p[1] <= 48 and 3 <= p[2] <= 9}
+    assert QUERIES["patch_features"](spark, SF).count() == len(asked)
+
+
 def test_entry(spark):
     import __spark_entry__
 

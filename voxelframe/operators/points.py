@@ -114,6 +114,22 @@ def nearest(points: DataFrame, others: DataFrame, cell: float, reach: int = 1) -
     return found.where(F.col("m.d2") <= (cell * reach) ** 2).select("id", F.col("m.other").alias("other"), F.sqrt("m.d2").alias("distance"))
 
 
+def nearest_any(points: DataFrame, others: DataFrame, cell: float) -> DataFrame:
+    """id, other, distance: the closest other point of every point, however far; no rows without other points.
+
+    The grid is widened twofold for the points that have none yet.
+    """
+    found = nearest(points, others, cell)
+    if others.isEmpty():
+        return found
+    rest = points.join(found, "id", "left_anti")
+    while not rest.isEmpty():
+        cell *= 2
+        more = nearest(rest, others, cell)
+        found, rest = found.unionByName(more), rest.join(more, "id", "left_anti")
+    return found
+
+
 def voxel_counts(points: DataFrame, res: tuple[float, float, float], grid: float, dims: tuple[int, int, int], by: list[str]) -> DataFrame:
     """Points per voxel of a coarse grid, those outside dropped."""
     placed = points

@@ -50,9 +50,9 @@ def phase_corr(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def patch_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Eight measures of the 5 x 5 pixels around chosen points."""
+    """Eight measures of the 5 x 5 pixels around every point whose patch lies in the image."""
     px = pixels(spark, sf).where("class = 1").select("y", "x", "z", "value")
-    at = px.where("y BETWEEN 3 AND 48 AND x BETWEEN 3 AND 9 AND (y * x * z) % 17 = 0").select(points.linear_index(F.col("y"), F.col("x"), F.col("z"), 50, 11).alias("id"), F.col("y").alias("cy"), F.col("x").alias("cx"), "z")
+    at = px.where("y BETWEEN 3 AND 48 AND x BETWEEN 3 AND 9").select(points.linear_index(F.col("y"), F.col("x"), F.col("z"), 50, 11).alias("id"), F.col("y").alias("cy"), F.col("x").alias("cx"), "z")
     square = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(1, 6) for j in range(1, 6)])
     asked = at.withColumn("o", F.explode(square)).select("id", "z", F.col("o.i").alias("i"), F.col("o.j").alias("j"), (F.col("cy") + F.col("o.i") - 3).alias("y"), (F.col("cx") + F.col("o.j") - 3).alias("x"))
     found = asked.join(px, ["y", "x", "z"], "left").select("id", F.col("i").alias("y"), F.col("j").alias("x"), F.coalesce("value", F.lit(0.0)).alias("value"))

@@ -78,6 +78,21 @@ def nearest_neighbour(spark: SparkSession, sf: str) -> DataFrame:
     return points.nearest(p.where("id % 13 = 0"), p.where("id % 17 = 5"), 12.0).select("id", "other", F.round("distance", 6).alias("distance"))
 
 
+@query()
+def touching_removal_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every point of the table; ``touching_removal`` takes the eleventh that its SQL names."""
+    p = views.cells(spark, sf).select("y", "x", "z").distinct()
+    return points.touching_removal(p.withColumn("id", points.linear_index(F.col("z"), F.col("x"), F.col("y"), 7, 11)), 2.0).select("y", "x", "z")
+
+
+@query()
+def nearest_neighbour_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every point of class 1 asks for the nearest of class 2, however far; ``nearest_neighbour`` takes the points that its SQL names."""
+    i = points.linear_index(F.col("y"), F.col("x"), F.col("z"), 50, 11)
+    p = views.cells(spark, sf).select("class", "y", "x", "z", i.alias("id")).distinct()
+    return points.nearest_any(p.where("class = 1"), p.where("class = 2"), 2.0).select("id", "other", F.round("distance", 6).alias("distance"))
+
+
 @query(SQL + """SELECT CAST(class AS INTEGER) AS class, vy, vx, vz, count(*) AS n FROM (SELECT class, CAST(round(y * 0.4) AS INTEGER) AS vy, CAST(round(x * 0.4) AS INTEGER) AS vx, CAST(round(z * 0.4) AS INTEGER) AS vz FROM cells) WHERE vy BETWEEN 1 AND 18 AND vx BETWEEN 1 AND 4 AND vz BETWEEN 1 AND 2 GROUP BY ALL""")
 def voxel_counts(spark: SparkSession, sf: str) -> DataFrame:
     return points.voxel_counts(views.cells(spark, sf), (4.0, 4.0, 4.0), 10.0, (18, 4, 2), ["class"])
