@@ -33,8 +33,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fixed-stride token records in training order."""
-    return training_order.materialise(docs)
+    """Fixed-stride token records in training order, written as shards."""
+    return training_order.written(docs)
 
 
 STAGES = [

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from voxelframe.llm import decontaminate, exact_dedup, html_extract, language_model, line_dedup, mixing, near_dedup, quality, queries, toxicity, training_order
 
 SF = "/root/testdata/sf0.001"
@@ -223,6 +224,19 @@ def test_training_order_round_trip(spark, docs, texts, tmp_path):
     assert again == {r["slot"]: bytes(r["tokens"]) for r in got}
 
 
+@pytest.mark.parametrize("run", [queries.op6_training_order, lambda spark, sf: corpus_pipeline.token_output(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)])
+def test_queries_write_the_shards(spark, tmp_path, run):
+    spark.conf.set("spark.voxelframe.shards", f"file://{tmp_path}")
+    try:
+        got = sorted(run(spark, SF).collect(), key=lambda r: r["slot"])
+    finally:
+        spark.conf.unset("spark.voxelframe.shards")
+    (folder,) = tmp_path.iterdir()
+    assert sorted(p.name for p in folder.iterdir()) == sorted({f"shard-{r['shard']:08d}.bin" for r in got})
+    read = list(training_order.read_slots(str(folder), 0, len(got)))
+    assert [x.tobytes() for x in read] == [bytes(r["tokens"]) for r in got]
+
+
 def brute_components(texts):
     sets = {}
     for i, t in texts.items():

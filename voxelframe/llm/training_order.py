@@ -20,15 +20,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, work_dir
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the vocabulary's public splitting pattern.
@@ -165,11 +166,17 @@ def materialise(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = SEQ
     return ranged.select("slot", "shard", "byte_offset", "index", "n_tokens", "doc_ids", "starts", "tokens")
 
 
-def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
+def shard_folder(spark: SparkSession) -> str:
+    """A folder for the shards of one run: under ``spark.voxelframe.shards`` where that is set, and kept;
+    else in the application's shared folder, which goes when the driver exits."""
+    return f"{(spark.conf.get('spark.voxelframe.shards', '') or work_dir(spark)).rstrip('/')}/shards-{uuid.uuid4().hex}"
+
+
+def write_shards(ordered: DataFrame, folder: str, rows: bool = False) -> DataFrame:
     """Write each shard as one file of records under ``folder`` (a path or URI all machines reach).
 
-    Gives shard, path, n_records, sha256. A shard is written under another name and then moved,
-    so a task that runs again leaves the same file.
+    Gives shard, path, n_records, sha256; with ``rows``, the rows of ``ordered`` instead, as they are
+    written. A shard is written under another name and then moved, so a task that runs again leaves the same file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,20 +199,34 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
             for shard, record in zip(b.column("shard").to_pylist(), b.column("tokens"), strict=True):
                 if shard != now:
                     if now is not None:
-                        yield row(done())
+                        ended = done()
+                        if not rows:
+                            yield row(ended)
                     now, n, digest = shard, 0, hashlib.sha256()
                     temp = f"{top}/_{shard:08d}-{TaskContext.get().taskAttemptId()}"
                     sink = store.open_output_stream(temp)
                 raw = record.as_py()
                 sink.write(raw)
-                digest.update(raw)
+                if not rows:
+                    digest.update(raw)
                 n += 1
+            if rows:
+                yield b
         if now is not None:
-            yield row(done())
+            ended = done()
+            if not rows:
+                yield row(ended)
 
+    if rows:
+        return ordered.mapInArrow(run, ordered.schema)
     return ordered.select("shard", "tokens").mapInArrow(run, "shard bigint, path string, n_records bigint, sha256 string")
 
 
+def written(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """The rows of ``materialise``; their shards are written as the rows are computed, in the same pass."""
+    return write_shards(materialise(docs), folder or shard_folder(docs.sparkSession), rows=True)
+
+
 def read_slots(folder: str, start: int, count: int, length: int = SEQUENCE, per_shard: int = PER_SHARD, kind: str = "<u2") -> Iterator[np.ndarray]:
     """The records of ``count`` slots from ``start`` on."""
     from pyarrow import fs
