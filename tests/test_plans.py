@@ -84,6 +84,19 @@ def test_patches_of_all_points(spark):
     assert QUERIES["patch_features"](spark, SF).count() == len(asked)
 
 
+def test_asof_nearest_of_all_slices(spark):
+    sf = SF.replace("0.001", "0.01")  # tiles of more than 400 slices
+    known: dict[str, list] = {}
+    asked = [tuple(r) for r in views.series(spark, sf).select("tile", "z", "value").collect()]
+    for tile, z, value in asked:
+        if value is not None:
+            known.setdefault(tile, []).append((z, value))
+    got = {(r["tile"], r["z"]): r["filled"] for r in QUERIES["asof_nearest_all"](spark, sf).collect()}
+    assert max(z for _, z in got) > 400 and len(got) == len(asked)
+    for tile, z, _ in asked:
+        assert got[tile, z] == min(known[tile], key=lambda k: (abs(k[0] - z), k[0]))[1]
+
+
 def test_entry(spark):
     import __spark_entry__
 

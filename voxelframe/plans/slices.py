@@ -142,6 +142,12 @@ def asof_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return align.asof_nearest(views.series(spark, sf), ["tile"], "z", "value").where("z <= 400").select("tile", "z", "filled")
 
 
+@query()
+def asof_nearest_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every slice; ``asof_nearest`` keeps the first 400 of a tile, as its SQL does."""
+    return align.asof_nearest(views.series(spark, sf), ["tile"], "z", "value").select("tile", "z", "filled")
+
+
 @query(SQL + """, w AS (SELECT tile, z, value, max(CASE WHEN value IS NOT NULL THEN z END) OVER (PARTITION BY tile ORDER BY z) AS za, min(CASE WHEN value IS NOT NULL THEN z END) OVER (PARTITION BY tile ORDER BY z ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS zb FROM series)
 SELECT w.tile, w.z, round(CASE WHEN w.za = w.zb THEN a.value ELSE a.value + (b.value - a.value) / (w.zb - w.za) * (w.z - w.za) END, 6) AS filled FROM w JOIN series a ON a.tile = w.tile AND a.z = w.za JOIN series b ON b.tile = w.tile AND b.z = w.zb""")
 def interp_linear(spark: SparkSession, sf: str) -> DataFrame:
