@@ -172,6 +172,15 @@ def test_html_cases(html, want):
     assert html_extract.main_text(html) == want
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ('<article><h2 id="social-impact">Social impact</h2><p>One.</p><h2 id="search">Search</h2><p>Two.</p></article>', "Social impact One. Search Two."),
+    ('<main><section id="discussion"><h2>Discussion</h2><p>One.</p></section><section id="related" class="related">No</section></main>', "Discussion One."),
+    ('<article><p>One.</p><section id="comments"><p>Reader.</p></section><div id="search">Find</div></article>', "One."),
+])
+def test_html_anchors_are_kept(html, want):
+    assert html_extract.main_text(html) == want
+
+
 def test_html_of_the_table(spark):
     from html import unescape
 

@@ -45,6 +45,9 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 ABOUT = re.compile(r"(has|no|not|with|without|is|category|cat|tag|type|format|status|lang|js)[-_]", re.I)
 #: Marks that hold even for what contains an article: such articles aren't the page's own.
 OTHERS = {"comment", "comments", "commentlist", "replies", "reply", "discussion", "disqus", "respond", "related", "recommend", "recommended", "sidebar", "promo", "trending"}
+#: Elements whose id, within an article or main, is an anchor made from the heading; a section's id that names reader comments still counts.
+SLUGGED = {"section", "h1", "h2", "h3", "h4", "h5", "h6"}
+READERS = {"comment", "comments", "commentlist", "disqus", "respond"}
 #: Opening one of these ends an open one of those.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 #: An open p ends where one of these begins.
@@ -79,6 +82,8 @@ def _unwanted(tag: str, attrs: str, here: Node) -> tuple[bool, bool]:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
         return True, False
+    if tag in SLUGGED and _within(here, {"article", "main"}) and not (tag == "section" and READERS & {w.lower() for w in WORD.findall(found.get("id", ""))}):
+        found.pop("id", None)
     names = [n for k in ("class", "id", "role") if k in found for n in found[k].split() if not ABOUT.match(n)]
     words = [[w.lower() for w in WORD.findall(n)] for n in names]
     if tag == "article":
