@@ -125,8 +125,8 @@ def nearest_any(points: DataFrame, others: DataFrame, cell: float) -> DataFrame:
     rest = points.join(found, "id", "left_anti")
     while not rest.isEmpty():
         cell *= 2
-        more = nearest(rest, others, cell)
-        found, rest = found.unionByName(more), rest.join(more, "id", "left_anti")
+        more = nearest(rest, others, cell).localCheckpoint()  # else each round would hold the plans before it twice
+        found, rest = found.unionByName(more), rest.join(more, "id", "left_anti").localCheckpoint()
     return found
 
 
