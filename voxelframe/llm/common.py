@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: White space and words of the contracts: the six ASCII characters and nothing else.
 SPACES = r"[\x20\x09-\x0D]+"
+#: The runs of SPACES that aren't one space already; text has few of these.
+ODD_SPACES = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -21,11 +23,13 @@ _own_dir: list[str] = []
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the session names none, as in local tests, a temporary folder is used;
-    local mode has one machine, so it is shared there.
+    Where the session names none, local mode takes a temporary folder, as it has one machine;
+    on a cluster that would be another disk on each executor, so there it is an error.
     """
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="voxelframe-"))
         shared = _own_dir[0]
@@ -35,19 +39,24 @@ def work_dir(spark: SparkSession) -> str:
 _registered: set[str] = set()
 
 
+def _path(spark: SparkSession, name: str) -> str:
+    """A new path in the application's folder, which goes when the driver exits."""
+    top = work_dir(spark)
+    if top not in _registered:
+        _registered.add(top)
+        atexit.register(_remove, spark, top)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
     This cuts the lineage: what follows never recomputes ``df``, and a lost executor
-    takes nothing with it. The application's folder goes when the driver exits.
+    takes nothing with it.
     """
     spark = df.sparkSession
-    top = work_dir(spark)
-    path = f"{top}/{name}-{uuid.uuid4().hex}"
+    path = _path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    if top not in _registered:
-        _registered.add(top)
-        atexit.register(_remove, spark, top)
     out = spark.read.schema(df.schema).parquet(path)
     out._voxelframe_path = path
     return out
@@ -103,3 +112,50 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, to
     b = a.join(cold, same(a, cold, [("_salt", "_c_salt")] + [(k, f"_c_{k}") for k in keys]), "left")
     picked = F.coalesce(F.col("_hot"), F.col("_cold"))
     return b.select(*left.columns, *[picked[v].alias(v) for v in values])
+
+
+#: A row's place in a ``Numbered`` table: its part, and its number there.
+PART, AT = "__vf_part", "__vf_at"
+#: Rows of a part at most, and of the smaller runs in which a row's result is looked up; Spark's bound on buckets.
+PART_BITS, RUN, MOST_BUCKETS = 16, 1024, 100_000
+
+
+class Numbered:
+    """A table written once with numbered rows, so that results for rows join them where they lie.
+
+    ``rows`` is bucketed by the part of the input that a row came from. Each task writes
+    its parts to files of their own, nothing is moved for that; later, small results for rows are
+    gathered by part and meet the bucket in which the part is. Texts are never shuffled to attach
+    a few numbers to them, whatever the sizes.
+    """
+
+    def __init__(self, docs: DataFrame, name: str):
+        spark = docs.sparkSession
+        buckets = max(1, min(MOST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        table, self._own = f"voxelframe_{name}_{uuid.uuid4().hex}", docs.columns
+        numbered = docs.withColumn(AT, F.monotonically_increasing_id()).withColumn(PART, F.shiftright(AT, PART_BITS)).withColumn(AT, F.col(AT).bitwiseAND((1 << PART_BITS) - 1).cast("int"))
+        numbered.write.format("parquet").option("compression", "zstd").option("path", _path(spark, name)).bucketBy(buckets, PART).saveAsTable(table)
+        atexit.register(_drop, spark, table)
+        self.rows = spark.table(table)
+
+    def beside(self, found: DataFrame, value: str) -> DataFrame:
+        """All rows, with the column ``value`` of ``found`` (PART, AT, value; a row each at most) or null.
+
+        The lookup goes through the runs of a part, then through the rows of a run that have a value.
+        """
+        run = F.floor(F.col(AT) / RUN).cast("int")
+        near = found.groupBy(PART, run.alias("_run")).agg(F.map_from_entries(F.collect_list(F.struct(AT, value))).alias("_near"))
+        parts = near.groupBy(PART).agg(F.map_from_entries(F.collect_list(F.struct("_run", "_near"))).alias("__vf_found"))
+        both = self.rows.join(parts.hint("shuffle_hash"), PART, "left")
+        return both.withColumn(value, F.try_element_at(F.try_element_at(F.col("__vf_found"), run), F.col(AT))).drop("__vf_found")
+
+    def bare(self, rows: DataFrame) -> DataFrame:
+        """Without the places, in the order of the table's own columns."""
+        return rows.select(*[F.col(f"`{c}`") for c in self._own])
+
+
+def _drop(spark: SparkSession, table: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    except Exception:  # noqa: BLE001  the session may have ended already
+        return

@@ -101,7 +101,7 @@ SELECT r.id AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles
     "op9_line_dedup": f"""
 WITH l AS (SELECT doc_id, coalesce(source, chr(0)) AS site, i, string_split(text, chr(10))[i] AS line FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
 m AS (SELECT *, trim(regexp_replace(lower(line), {_SPACES}, ' ', 'g'), ' ') AS norm FROM l),
-bad AS (SELECT norm FROM m WHERE len(string_split(norm, ' ')) >= 4 GROUP BY norm HAVING count(DISTINCT site) >= 6),
+bad AS (SELECT norm FROM m WHERE norm <> '' GROUP BY norm HAVING count(DISTINCT site) >= 6),
 t AS (SELECT doc_id, count(*) AS n_lines, count(bad.norm) AS n_removed, string_agg(line, chr(10) ORDER BY i) FILTER (bad.norm IS NULL) AS text FROM m LEFT JOIN bad USING (norm) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t.text, '')) AS text_sha256 FROM documents d LEFT JOIN t USING (doc_id)""",
     "op10_mix_sources": f"""
@@ -112,9 +112,9 @@ weighed AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3
 levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l FROM weighed),
 aimed AS (SELECT source, source_size, n, least(most, w * max(l) OVER ()) AS target FROM levels),
 ratios AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM aimed),
-plan AS (SELECT source, source_size, target, floor(ratio + 1e-12::DOUBLE) AS whole, greatest(target - floor(ratio + 1e-12::DOUBLE) * source_size, 0) AS rest,
+plan AS (SELECT source, source_size, n, target, floor(ratio + 1e-12::DOUBLE) AS whole, greatest(target - floor(ratio + 1e-12::DOUBLE) * source_size, 0) AS rest,
   least(greatest(ratio - floor(ratio + 1e-12::DOUBLE), 1e-9::DOUBLE), 1::DOUBLE - 1e-9::DOUBLE) AS p, least(4096, ceil(n / 256::DOUBLE)) AS cells FROM ratios),
-ranked AS (SELECT b.*, source_size, target, whole, rest, cells, (u / (1 - u)) / (p / (1 - p)) AS z FROM base b JOIN plan t ON b.source IS NOT DISTINCT FROM t.source),
+ranked AS (SELECT b.*, source_size, target, whole, rest, cells, (u / (1 - u)) / (sqrt((1 + source_size::DOUBLE / n) / (1 + size)) * p / (1 - p)) AS z FROM base b JOIN plan t ON b.source IS NOT DISTINCT FROM t.source),
 placed AS (SELECT *, least(floor(cells * (z / (z + 1))), cells - 1) AS cell, cells * (z / (z + 1)) AS spread FROM ranked),
 c1 AS (SELECT source, cell, sum(size) AS w, count(*) AS n, any_value(rest) AS rest FROM placed GROUP BY source, cell),
 r1 AS (SELECT *, sum(w) OVER (PARTITION BY source ORDER BY cell) AS upto FROM c1),
