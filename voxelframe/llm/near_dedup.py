@@ -1,30 +1,33 @@
 """Near-duplicate detection with an LSH forest over MinHash signatures.
 
 1. Equal word sequences become one representative (the least doc_id); all copies follow it.
-2. A representative's set of 5-word shingles gives TREES signatures of DEPTH least hashes (32 bits).
+2. A representative's set of 5-word shingles gives TREES signatures of DEPTH least hashes (16 bits).
    In each tree the representatives are sorted by signature, ties by id: range partitions, so that
    even one huge region of like signatures spreads over many tasks.
 3. Neighbours in a sorted order whose longest common prefix is MINIMUM or more are
-   candidates; the sort puts the deepest agreement next to each other, so the depth adapts to
-   how crowded a region is. Candidates whose whole signatures leave SCREEN possible are
-   confirmed on the full sets; links join components.
-4. A region (the run of one tree that shares the first MINIMUM hashes) whose members are not
-   all in one component is gone through again: every member that is not in the
-   region's largest component meets all blocks of the region. Pairs of different components
-   are settled on the full sets inside the task, the likest first, each pair in the first tree that has
-   it only, and none that links found in the task have joined already; only links leave the
-   task, never pairs. After that no two documents that share a prefix of MINIMUM in any tree
-   are left uncompared unless joined.
+   candidates; the sort puts the deepest agreement next to each other. Candidates whose whole
+   signatures leave SCREEN possible are confirmed on the full sets; links join components.
+4. Neighbours of one tree that share the first MINIMUM hashes make a region. A region whose members
+   are not all in one component is gone through again, and here the depth adapts: where more
+   than BLOCK members share a prefix, they are parted by the next hash, down to DEPTH. What is
+   crowded even there is dealt into blocks, and every member outside the region's largest
+   component, a stray, meets all blocks: a task holds one block of strays and one of members, bounded in rows
+   and in shingles, whatever the region's size. Pairs of different components are settled on the full
+   sets inside the task, the likest first, and none that links found in the task have joined
+   already; only links leave the task, never pairs.
 5. Components are joined by least labels and pointer jumping, with every pass saved.
 
+Texts are read where they lie (``common.Numbered``): only sets of candidates are moved.
+
 The chance that two documents of similarity s share no prefix is (1 - s**MINIMUM)**TREES:
-with 5 and 20 that is 1e-5 at 0.85. The share of equal hashes of two signatures has a standard
+with 5 and 20 that is 1e-5 at 0.85; with the whole DEPTH of 8, in crowded regions, 0.0017, for a pair that no third
+document joins. The share of equal hashes of two signatures has a standard
 error of 0.028 there, so SCREEN lies over four of them below. Shingles are 64-bit hashes; links are confirmed on the full
 sets of these.
 
 Defined results: texts without words (null and empty too) have empty sets and stay alone;
 with fewer than five words the whole sequence is the only shingle; rows that repeat a doc_id
-are one document and get one row each; rows with a null doc_id
+are one document and get one row each; rows with a null doc_id, or with one that is no number,
 stay alone, with a null component, and are kept; an empty table gives no rows; other columns are ignored, or
 passed by ``keep``.
 """
@@ -38,13 +41,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_hot, release, save
+from .common import AT, PART, Numbered, join_hot, release, save
 from .language_model import LOWER
 
 SHINGLE, PERCENT = 5, 85
 TREES, DEPTH, MINIMUM = 20, 8, 5
-#: Rows of a block in which members of a mixed region meet; likeness of signatures under which a pair is ruled out.
-BLOCK, SCREEN = 512, 0.73
+#: Bytes of a hash in a signature, and of one tree's key.
+HASH, KEY = 2, 2 * DEPTH
+#: Rows and shingles of a block in which members of a mixed region meet; likeness of signatures under which a pair is ruled out.
+BLOCK, BLOCK_SHINGLES, SCREEN = 256, 1 << 20, 0.73
 _r = np.random.default_rng(85)
 FACTORS = _r.integers(1 << 62, 1 << 63, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
 SHIFTS = _r.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
@@ -56,7 +61,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Hasher:
-    """64-bit hashes of words, remembered for up to a million of them."""
+    """64-bit hashes of words, remembered for ``most`` of them and those of one text more."""
 
     def __init__(self, most: int = 400_000):
         self.seen: dict[bytes, int] = {}
@@ -86,17 +91,18 @@ class Hasher:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The least of each hash over the set, 32 bits each."""
+    """The least of each hash over the set, 16 bits each."""
     best = np.full(len(FACTORS), np.uint64((1 << 64) - 1))
     for at in range(0, len(shingles), 2048):
         part = shingles[at : at + 2048]
         x = part[:, None] * FACTORS[None, :] + SHIFTS[None, :]
         best = np.minimum(best, x.min(0))
-    return (best >> np.uint64(32)).astype(">u4")
+    # the greatest bits of a least value are few; mixed, all of them count
+    return ((best * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 8 * HASH)).astype(f">u{HASH}")
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """row doc_id, n_shingles, same (hash of the word sequence), sig (bytes; null without words), saved."""
+def sketches(table: Numbered) -> DataFrame:
+    """place, doc_id, n_shingles, same (hash of the word sequence), sig (bytes; null without words) of each row, saved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -110,40 +116,50 @@ def sketches(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 same.append(xxh3_128_digest(b" ".join(words)) if words else None)
                 sig.append(signature(s).tobytes() if words else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "same", "sig"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(sig, pa.binary())], names=[PART, AT, "doc_id", "n_shingles", "same", "sig"])
+
+    rows = table.rows.select(PART, AT, F.expr("try_cast(doc_id AS bigint)").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return save(rows.mapInArrow(run, f"{PART} bigint, {AT} int, doc_id bigint, n_shingles bigint, same binary, sig binary"), "sketches")
+
 
-    return save(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, same binary, sig binary"), "sketches")
+def _keys(column: pa.Array) -> np.ndarray:
+    """Keys of one tree as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, KEY)
 
 
 def neighbours(trees: DataFrame) -> DataFrame:
-    """a, b: neighbours in a tree's order that share the first MINIMUM hashes. ``trees`` has tree, sig (of that tree), id."""
-    ordered = trees.repartitionByRange(max(int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "tree", "sig", "id").sortWithinPartitions("tree", "sig", "id")
-    size = 4 * MINIMUM
+    """tree, a, ka, b, kb: neighbours in a tree's order that share the first MINIMUM hashes, and their keys. ``trees`` has tree, key, id."""
+    ordered = trees.repartitionByRange(max(int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
+    size = HASH * MINIMUM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "edge", "tree", "sig"]
-        before = first = None
-        for b in batches:
-            out: list[tuple[int, int]] = []
-            for now in zip(b.column("tree").to_pylist(), b.column("sig").to_pylist(), b.column("id").to_pylist(), strict=True):
-                if before is None:
-                    first = now
-                elif before[0] == now[0] and before[1][:size] == now[1][:size]:
-                    out.append((before[2], now[2]))
-                before = now
-            if out:
-                a, c = zip(*out, strict=True)
-                k = len(out)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array([False] * k), pa.array([None] * k, pa.int32()), pa.array([None] * k, pa.binary())], names=names)
-        if before is not None:  # the ends of the partition meet those of the next one
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([first[2], before[2]], pa.int64()), pa.array([0, 1], pa.int64()), pa.array([True, True]), pa.array([first[0], before[0]], pa.int32()), pa.array([first[1], before[1]], pa.binary())], names=names
+        def rows(tree, a, ka, b, kb, edge) -> pa.RecordBatch:
+            n = len(a)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(tree, pa.int32()), pa.array(a, pa.int64()), pa.array(ka, pa.binary()), pa.array(b, pa.int64()), pa.array(kb, pa.binary()), pa.array([edge] * n)], names=["tree", "a", "ka", "b", "kb", "edge"]
             )
 
-    found = save(ordered.mapInArrow(run, "a bigint, b bigint, edge boolean, tree int, sig binary"), "neighbours")
-    w = Window.partitionBy("tree", F.substring("sig", 1, size)).orderBy("sig", "a", "b")  # two rows a partition
-    ends = found.where("edge").withColumn("next", F.lead("a").over(w)).where("next IS NOT NULL AND next <> a").select("a", F.col("next").alias("b"))
-    return found.where("NOT edge").select("a", "b").unionByName(ends)
+        first = last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree, ids, keys = batch.column("tree").to_numpy(), batch.column("id").to_numpy(), _keys(batch.column("key"))
+            if last is not None:  # the row before the batch goes in front of it
+                tree, ids, keys = np.concatenate([last[0], tree]), np.concatenate([last[1], ids]), np.concatenate([last[2], keys])
+            else:
+                first = (int(tree[0]), int(ids[0]), keys[0].tobytes())
+            at = np.flatnonzero((tree[1:] == tree[:-1]) & (keys[1:, :size] == keys[:-1, :size]).all(1))
+            if len(at):
+                yield rows(tree[at], ids[at], [keys[i].tobytes() for i in at], ids[at + 1], [keys[i + 1].tobytes() for i in at], False)
+            last = tree[-1:], ids[-1:], keys[-1:]
+        if last is not None:  # the ends of the partition meet those of the next one
+            end = (int(last[0][0]), int(last[1][0]), last[2][0].tobytes())
+            yield rows([first[0], end[0]], [first[1], end[1]], [first[2], end[2]], [0, 1], [None, None], True)
+
+    found = save(ordered.mapInArrow(run, "tree int, a bigint, ka binary, b bigint, kb binary, edge boolean"), "neighbours")
+    w = Window.partitionBy("tree", F.substring("ka", 1, size)).orderBy("ka", "a", "b")  # two rows a partition
+    ends = found.where("edge").withColumn("b", F.lead("a").over(w)).withColumn("kb", F.lead("ka").over(w)).where("b <> a")
+    return found.where("NOT edge").unionByName(ends).drop("edge")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> bool:
@@ -156,9 +172,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * shared >= PERCENT * (n + m - shared)
 
 
-def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, s (the sorted shingle hashes as bytes) of the documents named, saved."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
+def full_sets(ids: DataFrame, groups: DataFrame, table: Numbered) -> DataFrame:
+    """id, s (the sorted shingle hashes as bytes) of the representatives named, saved."""
+    wanted = groups.select(PART, AT, "id").join(ids, "id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -166,25 +182,30 @@ def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
             got = [hasher.shingles(words_of(t.as_py())).tobytes() for t in b.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(got, pa.binary())], names=["id", "s"])
 
-    return save(texts.mapInArrow(sets, "id bigint, s binary").dropDuplicates(["id"]), "sets")
+    texts = table.beside(wanted, "id").where("id IS NOT NULL").select("id", F.col("text").cast("string").alias("text"))
+    return save(texts.mapInArrow(sets, "id bigint, s binary"), "sets")
 
 
-def matched(pairs: DataFrame, table: DataFrame, column: str, test: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
+def matched(pairs: DataFrame, table: DataFrame, column: str, test: Callable[[pa.Buffer, pa.Buffer], bool]) -> DataFrame:
     """The pairs (a, b) that pass a test on what ``table`` (id, column) has of both."""
     left = pairs.join(table.select(F.col("id").alias("a"), F.col(column).alias("x")), "a")
     paired = left.join(table.select(F.col("id").alias("b"), F.col(column).alias("y")), "b").select("a", "b", "x", "y")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [test(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column("x"), b.column("y"), strict=True)]
+            ok = [test(x.as_buffer(), y.as_buffer()) for x, y in zip(b.column("x"), b.column("y"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return paired.mapInArrow(check, "a bigint, b bigint")
 
 
-def possible(a: np.ndarray, b: np.ndarray) -> bool:
+def alike(a: pa.Buffer, b: pa.Buffer) -> bool:
+    return likeness(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64))
+
+
+def possible(a: pa.Buffer, b: pa.Buffer) -> bool:
     """Whether two signatures leave the likeness possible."""
-    return float((a.view(np.uint32) == b.view(np.uint32)).mean()) >= SCREEN
+    return float((np.frombuffer(a, f"u{HASH}") == np.frombuffer(b, f"u{HASH}")).mean()) >= SCREEN
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -216,56 +237,74 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def mixed_regions(trees: DataFrame, labels: DataFrame) -> DataFrame:
-    """tree, region, id, label, stray, home, block: who meets where, in regions of several components.
+def mixed_regions(near: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame | None:
+    """tree, region, a, b, id, label, stray, home: who meets where, in regions of several components; None without any.
 
-    Every member is at home in one block of its region; those outside the region's largest
-    component, the strays, visit all blocks.
+    ``near`` is what ``neighbours`` gives, ``sizes`` has id, n_shingles. Every member is at home in one block b of its region and
+    waits there for each block a of strays; a stray of block a visits all blocks b.
     """
-    placed = trees.select("tree", F.substring("sig", 1, 4 * MINIMUM).alias("region"), "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    held = placed.groupBy("tree", "region", "label").agg(F.count("*").alias("n"))
-    regions = held.groupBy("tree", "region").agg(F.count("*").alias("k"), F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top")).where("k > 1")
-    regions = save(regions.select("tree", "region", "size", F.col("top.label").alias("top")), "mixed")
-    total = regions.agg(F.sum("size")).first()[0] or 0
-    members = join_hot(placed, regions, ["tree", "region"], "size", total).where("size IS NOT NULL")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    members = members.select("tree", "region", "id", "label", (F.col("label") != F.col("top")).alias("stray"), F.pmod(F.xxhash64("id"), blocks).alias("home"), blocks.alias("blocks"))
-    visits = F.when(F.col("stray"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("home"))
-    return members.select("tree", "region", "id", "label", "stray", "home", F.explode(visits).alias("block"))
-
-
-def _meetings(key: tuple, t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each stray of a block: its place, those at home there that may be like it, and how alike their signatures are."""
-    tree, block = key[0].as_py(), key[2].as_py()
-    ids, labels, strays = (t.column(c).to_numpy() for c in ("id", "label", "stray"))
-    here = t.column("home").to_numpy() == block
-    sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), ">u4").reshape(len(ids), TREES, DEPTH)
-    for i in np.flatnonzero(strays):
+    ends = [F.struct(F.col(x).alias("id"), F.col(f"k{x}").alias("key")) for x in "ab"]
+    members = near.select("tree", F.explode(F.array(*ends)).alias("m")).select("tree", "m.id", "m.key").distinct()
+    members = members.join(labels, "id", "left").join(sizes, "id").withColumn("label", F.coalesce("label", "id"))
+    out = None
+    for depth in range(MINIMUM, DEPTH + 1):
+        members = save(members.withColumn("region", F.substring("key", 1, HASH * depth)), "members")
+        held = members.groupBy("tree", "region", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+        regions = held.groupBy("tree", "region").agg(F.count("*").alias("k"), F.sum("n").alias("size"), F.sum("w").alias("weight"), F.max(F.struct("n", "label", "w")).alias("top")).where("k > 1")
+        blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_SHINGLES), F.lit(1)).cast("long")
+        ready = (F.col("size") <= BLOCK) if depth < DEPTH else F.lit(True)
+        regions = save(regions.select("tree", "region", "size", F.col("top.label").alias("top"), ready.alias("ready"), blocks(F.col("size") - F.col("top.n"), F.col("weight") - F.col("top.w")).alias("stray_blocks"), blocks(F.col("size"), F.col("weight")).alias("blocks")), "mixed")
+        found = regions.groupBy("ready").agg(F.sum("size").alias("n")).collect()  # two rows
+        rows = {r["ready"]: r["n"] for r in found}
+        if not rows:
+            break
+        placed = join_hot(members, regions, ["tree", "region"], "size", sum(rows.values())).where("size IS NOT NULL")
+        if True in rows:
+            stray = F.col("label") != F.col("top")
+            here = placed.where("ready").withColumn("stray", stray)
+            b, a = F.pmod(F.xxhash64("id"), F.col("blocks")), F.pmod(F.xxhash64("id", F.lit(1)), F.col("stray_blocks"))
+            everyone = F.transform(F.sequence(F.lit(0).cast("long"), F.col("stray_blocks") - 1), lambda x: F.struct(x.alias("a"), F.col("_b").alias("b"), F.lit(True).alias("home")))
+            visits = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.col("_a").alias("a"), x.alias("b"), F.lit(False).alias("home")))
+            here = here.withColumn("_b", b).withColumn("_a", a).withColumn("v", F.explode(F.when(F.col("stray"), F.concat(everyone, visits)).otherwise(everyone)))
+            here = here.select("tree", "region", "v.a", "v.b", "id", "label", "stray", "v.home")
+            out = here if out is None else out.unionByName(here)
+        if False not in rows:
+            break
+        members = placed.where("NOT ready").select("tree", "key", "id", "label", "n_shingles")
+    return out
+
+
+def _meetings(tree: int, t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each stray on a visit: its place, those at home that may be like it, and how alike their signatures are."""
+    ids, labels, strays, home = (t.column(c).to_numpy() for c in ("id", "label", "stray", "home"))
+    sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), f"u{HASH}").reshape(len(ids), TREES, DEPTH)
+    hosts = np.flatnonzero(home)
+    for i in np.flatnonzero(~home):
         # two strays meet where the one of the lesser id is at home
-        who = np.flatnonzero(here & (labels != labels[i]) & (~strays | (ids < ids[i])))
+        who = hosts[(labels[hosts] != labels[i]) & (~strays[hosts] | (ids[hosts] < ids[i]))]
         if len(who):
             same = sigs[who] == sigs[i]
-            alike = same.mean((1, 2))
-            first = same[:, :, :MINIMUM].all(2).argmax(1) == tree
-            take = (alike >= SCREEN) & first
+            share = same.mean((1, 2))
+            # those that share a whole key of an earlier tree have met there
+            take = (share >= SCREEN) & ~same[:, :tree].all(2).any(1)
             if take.any():
-                yield int(i), who[take], alike[take]
+                yield int(i), who[take], share[take]
 
 
-def settle(calls: DataFrame, sketch: DataFrame, known: DataFrame) -> DataFrame:
-    """a, b: links between components that regions of several components hide."""
-    keys = ["tree", "region", "block"]
-    kinds = "tree int, region binary, block bigint, id bigint, label bigint, stray boolean, home bigint"
+def settle(calls: DataFrame, signatures: DataFrame, known: DataFrame, groups: DataFrame, table: Numbered) -> DataFrame:
+    """a, b: links between components (labels) that regions of several components hide; saved."""
+    keys = ["tree", "region", "a", "b"]
+    kinds = "tree int, region binary, a bigint, b bigint, id bigint, label bigint, stray boolean, home boolean, sig binary"
 
     def involved(key: tuple, t: pa.Table) -> pa.Table:
         take = np.zeros(len(t), bool)
-        for i, who, _ in _meetings(key, t):
+        for i, who, _ in _meetings(key[0].as_py(), t):
             take[i] = True
             take[who] = True
         return t.filter(pa.array(take)).select([c.split()[0] for c in kinds.split(", ")])
 
     def links(key: tuple, t: pa.Table) -> pa.Table:
-        ids, labels = t.column("id").to_pylist(), t.column("label").to_pylist()
+        labels = t.column("label").to_pylist()
         sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("s")]
         up: dict[int, int] = {}
 
@@ -274,45 +313,63 @@ def settle(calls: DataFrame, sketch: DataFrame, known: DataFrame) -> DataFrame:
                 x = up[x]
             return x
 
-        pairs = [(-float(s), i, int(j)) for i, who, alike in _meetings(key, t) for j, s in zip(who, alike, strict=True)]
+        met = list(_meetings(key[0].as_py(), t))
+        share = np.concatenate([s for _, _, s in met]) if met else np.zeros(0)
+        left = np.concatenate([np.full(len(w), i) for i, w, _ in met]) if met else np.zeros(0, int)
+        right = np.concatenate([w for _, w, _ in met]) if met else np.zeros(0, int)
         a, b = [], []
-        for _, i, j in sorted(pairs):
+        for k in np.argsort(-share, kind="stable"):
+            i, j = int(left[k]), int(right[k])
             p, q = find(labels[i]), find(labels[j])
             if p != q and likeness(sets[i], sets[j]):
                 up[p] = q
-                a.append(ids[i])
-                b.append(ids[j])
+                a.append(labels[i])
+                b.append(labels[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    met = save(calls.join(sketch, "id").groupBy(*keys).applyInArrow(involved, kinds), "meetings")
-    return save(met.join(sketch, "id").join(known, "id").groupBy(*keys).applyInArrow(links, "a bigint, b bigint"), "more_links")
+    met = save(calls.join(signatures, "id").groupBy(*keys).applyInArrow(involved, kinds), "meetings")
+    more = full_sets(met.select("id").distinct().join(known, "id", "left_anti"), groups, table)
+    every = known.unionByName(more)
+    return save(met.join(every, "id").groupBy(*keys).applyInArrow(links, "a bigint, b bigint").distinct(), "more_links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    rows = sketches(docs)
+def classes(table: Numbered) -> DataFrame:
+    """Place, doc_id, n_shingles, component_id, kept of every row of a table with doc_id and text."""
+    rows = sketches(table)
     real = rows.where("doc_id IS NOT NULL AND same IS NOT NULL")
-    groups = save(real.groupBy("same").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("id"), F.count("*").alias("n")), "groups")
-    sketch = groups.select("id", "sig").dropDuplicates(["id"])
-    width = 4 * DEPTH
-    trees = groups.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.substring(F.col("sig"), k * width + 1, F.lit(width)))).alias("tree", "sig"))
-    pairs = save(neighbours(trees).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
-    # whoever shares a region with another is next to one of its members
-    known = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs)
-    links = save(matched(save(matched(pairs, sketch, "sig", possible), "possible"), known, "s", likeness), "links")
-    labels = components(links)
-    more = settle(mixed_regions(trees, labels), sketch, known)
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
-    release(known, pairs)
+    first = F.min_by(F.struct("sig", "n_shingles", PART, AT), F.struct("doc_id", PART, AT))
+    groups = real.groupBy("same").agg(first.alias("f"), F.min("doc_id").alias("id"), F.count("*").alias("n")).select("same", "id", "n", "f.*")
+    # of a doc_id's several texts one stands for the document among candidates; all get its component
+    groups = save(groups.withColumn("stands", F.row_number().over(Window.partitionBy("id").orderBy("same")) == 1), "groups")
+    one = groups.where("stands").drop("same", "stands", "n")
+    trees = one.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.substring(F.col("sig"), k * KEY + 1, F.lit(KEY)))).alias("tree", "key"))
+    near = neighbours(trees)
+    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    signatures = one.select("id", "sig")
+    candidates = save(matched(pairs, signatures, "sig", possible), "possible")
+    known = full_sets(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), one, table)
+    labels = components(save(matched(candidates, known, "s", alike), "links"))
+    calls = mixed_regions(near, labels, one.select("id", "n_shingles"))
+    if calls is not None:
+        more = settle(calls, signatures, known, one, table)
+        if not more.isEmpty():
+            joined = components(more).select(F.col("id").alias("label"), F.col("label").alias("least"))
+            ids = labels.unionByName(more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").select("id", F.col("id").alias("label")))
+            labels = ids.join(joined, "label", "left").select("id", F.coalesce("least", "label").alias("label"))
+    release(known, candidates)
     named = groups.join(labels, "id", "left").select("same", "n", F.coalesce("label", "id").alias("component"))
     total = groups.agg(F.sum("n")).first()[0] or 0
     out = join_hot(rows.drop("sig"), named, ["same"], "n", total)
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
+    return out.select(PART, AT, "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    return classes(Numbered(docs.select("doc_id", "text"), "near")).drop(PART, AT)
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """One row of each component: that of its least doc_id, with all its columns."""
-    verdict = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    d, v = docs.alias("d"), verdict.alias("v")
-    return d.join(v, F.expr("d.doc_id <=> v.doc_id"), "left_semi")
+    table = Numbered(docs, "near")
+    gone = classes(table).where("NOT kept").select(PART, AT, F.lit(True).alias("__vf_gone"))
+    return table.bare(table.beside(gone, "__vf_gone").where("__vf_gone IS NULL"))
