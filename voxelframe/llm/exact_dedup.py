@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, join_hot, save
+from .common import ODD_SPACES, join_hot, save
 
 MIN_CHUNK, MAX_CHUNK = 1024, 8192
 #: A chunk ends after the least length where "e", a space and a vowel meet, or at the greatest length.
@@ -27,7 +27,7 @@ CHUNK = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK}}}?e (?=[aeiou])|.{{1,{MAX_CHUNK}}}"
 
 
 def normalised(text: str = "text") -> Column:
-    return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACES, " ")
+    return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), ODD_SPACES, " ")
 
 
 def chunks(text: Column) -> Column:
@@ -40,10 +40,10 @@ def recipes(docs: DataFrame, digest: Callable[[Column], Column] = F.xxhash64) ->
     cut = docs.select("doc_id", normalised().alias("_t"))
     parts = cut.select(F.explode(chunks(F.col("_t"))).alias("chunk")).select(digest(F.col("chunk")).alias("h"), "chunk")
     twins = parts.distinct().groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    twins = save(twins, "twins")
     plain = cut.select("doc_id", F.sha2(F.col("_t"), 256).alias("text_sha256"), chunks(F.col("_t")).alias("_c"))
-    if twins.isEmpty():
+    if not twins.limit(1).count():
         return save(plain.select("doc_id", "text_sha256", F.transform("_c", lambda c: F.struct(digest(c).alias("h"), F.lit(0).alias("v"))).alias("recipe")), "recipes")
+    twins = save(twins, "twins")
     # some identifiers stand for two chunks: number the chunks of each, by their text
     listed = parts.distinct().join(twins, "h", "left_semi").groupBy("h").agg(F.sort_array(F.collect_list("chunk")).alias("all"))
     named = listed.select("h", F.posexplode("all").alias("v", "chunk"))
@@ -58,9 +58,8 @@ def recipes(docs: DataFrame, digest: Callable[[Column], Column] = F.xxhash64) ->
 def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_chunks."""
     lists = recipes(docs, digest)
-    groups = save(lists.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
-    total = groups.agg(F.sum("group_size")).first()[0] or 0
-    out = join_hot(lists, groups, ["recipe"], "group_size", total)
+    groups = lists.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    out = join_hot(lists, groups, ["recipe"], "group_size", lists.count())
     return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256", F.size("recipe").alias("n_chunks"))
 
 
