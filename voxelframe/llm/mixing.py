@@ -5,8 +5,10 @@ whole; a target stops at ``cap`` times its source's size and the excess is share
 weight. That is one water level, found with two running sums over the sources.
 
 Copies: a source whose target is r times its size takes floor(r) certain copies of every
-document; the rest r - floor(r) is an inclusion probability p. Documents are ranked by
-random odds over inclusion odds, (u/(1-u)) / (p/(1-p)), and taken in that order until the
+document; the rest r - floor(r) is the mean inclusion probability p of the source. A document's inclusion odds are p/(1-p)
+times sqrt((1 + mean size) / (1 + its size)): the shorter ones are likelier, so that a source's words come from more
+documents (``odds`` names a column of other factors). Documents are ranked by
+random odds over inclusion odds, (u/(1-u)) / odds, and taken in that order until the
 remaining words are met; u comes from a hash of ``doc_id`` and the seed, so reruns agree.
 The cut is found in two histograms of the rank (cells of the source, then parts of the cell in
 which the cut lies), so no source is ever sorted as a whole; only the part of some LIST
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS, join_hot, save
+from .common import AT, PART, WORDS, Numbered, join_hot, save
 
 #: Documents around the cut that are taken one by one, and the most cells of a histogram.
 LIST, CELLS = 256, 4096
@@ -53,11 +55,16 @@ def targets(sizes: DataFrame, cap: float = 3.0, cycle: int = 3) -> DataFrame:
 
 
 def copies(docs: DataFrame, cap: float = 3.0, seed: int = 20, odds: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies.
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, odds (the factor).
 
-    ``odds`` names a column of positive weights by which inclusion odds differ within a source.
+    ``odds`` names a column of positive weights by which inclusion odds differ within a source, instead of the rule by size.
     """
-    base = save(docs.select("doc_id", "source", words().alias("size"), uniform(seed).alias("u"), (F.col(odds).cast("double") if odds else F.lit(1.0)).alias("odds")), "sizes")
+    return _copies(docs, [], cap, seed, odds)
+
+
+def _copies(docs: DataFrame, places: list[str], cap: float, seed: int, odds: str | None) -> DataFrame:
+    """What ``copies`` gives, with the columns ``places`` of ``docs`` in front."""
+    base = save(docs.select(*places, "doc_id", "source", words().alias("size"), uniform(seed).alias("u"), (F.col(odds).cast("double") if odds else F.lit(None).cast("double")).alias("given")), "sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     plan = targets(sizes, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -66,9 +73,10 @@ def copies(docs: DataFrame, cap: float = 3.0, seed: int = 20, odds: str | None =
     plan = save(plan.drop("weight"), "plan")
     total = plan.agg(F.sum("n_docs")).first()[0] or 0
 
+    by_size = F.sqrt((1 + F.col("source_size") / F.col("n_docs")) / (1 + F.col("size")))
     rank = (F.col("u") / (1 - F.col("u"))) / (F.col("odds") * F.col("p") / (1 - F.col("p")))
     spread = F.col("cells") * (F.col("z") / (F.col("z") + 1))
-    placed = join_hot(base, plan, ["source"], "n_docs", total).withColumn("z", rank)
+    placed = join_hot(base, plan, ["source"], "n_docs", total).withColumn("odds", F.coalesce("given", by_size)).withColumn("z", rank)
     placed = placed.withColumn("cell", F.least(F.floor(spread), F.col("cells") - 1)).withColumn("inner", spread - F.col("cell"))
 
     def cut(cells: DataFrame, by: str, left: str) -> DataFrame:
@@ -108,12 +116,15 @@ def copies(docs: DataFrame, cap: float = 3.0, seed: int = 20, odds: str | None =
     listed_too = F.exists("ids", lambda x: (x["z"] == F.col("z")) & x["doc_id"].eqNullSafe(F.col("doc_id")))
     extra = F.when(F.col("left") <= 0, False).when(F.col("cut_cell").isNull(), True).when(F.col("cell") != F.col("cut_cell"), F.col("cell") < F.col("cut_cell"))
     extra = extra.when(F.col("cut_part").isNull() | (F.col("part") < F.col("cut_part")), True).when(F.col("part") > F.col("cut_part"), False).otherwise(F.coalesce(listed_too, F.lit(False)))
-    return done.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + extra.cast("long")).alias("copies"))
+    return done.select(*places, "doc_id", "source", "size", "source_size", "target", (F.col("whole") + extra.cast("long")).alias("copies"), "odds")
 
 
 def mix(docs: DataFrame, cap: float = 3.0, seed: int = 20) -> DataFrame:
-    """The mixture: every row of ``docs`` as often as it is taken, with its own columns only."""
-    taken = copies(docs, cap, seed).where("copies > 0").groupBy("doc_id", "source").agg(F.max("copies").alias("_copies"))
-    d, t = docs.alias("d"), taken.alias("t")
-    both = d.join(t, F.expr("d.doc_id <=> t.doc_id AND d.source <=> t.source"))
-    return both.select("d.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("t._copies"))).alias("__vf_copy")).drop("__vf_copy")
+    """The mixture: every row of ``docs`` as often as it is taken, with its own columns only.
+
+    Rows are repeated or left out where they lie; the texts are not shuffled.
+    """
+    table = Numbered(docs, "mixture")
+    taken = _copies(table.rows, [PART, AT], cap, seed, None).where("copies > 0").select(PART, AT, F.col("copies").alias("__vf_copies"))
+    both = table.beside(taken, "__vf_copies").where("__vf_copies IS NOT NULL")
+    return table.bare(both.withColumn("__vf_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__vf_copies")))))
