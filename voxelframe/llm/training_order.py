@@ -12,7 +12,11 @@
 Slots are even over 0..N-1, so every partition gets the same number of records whatever the
 documents look like; a document of any length is cut into sequences as it is read.
 
-Defined results: null and empty texts are one end mark; a null doc_id is carried as null;
+A run of LONGEST characters of one kind (white space, letters, digits, others) is cut there before the tokeniser,
+whose pattern and merges would take time and stack that grow with the square of a run; texts without such runs get
+the vocabulary's own ids, all texts decode to themselves.
+
+Defined results: null and empty texts are one end mark; a null doc_id is carried as null, as is one that is no number;
 repeated rows are each written; an empty table gives no sequences and no shards; other columns are ignored.
 """
 
@@ -34,6 +38,9 @@ from .common import save, work_dir
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the vocabulary's public splitting pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters of one kind after which a run is cut.
+LONGEST = 32_768
+KINDS = r"\s+|\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
 SEQUENCE, PER_SHARD, KEY = 1024, 8192, 20240229
 TASK_BYTES = 32 << 20
 ROUNDS = 6
@@ -44,6 +51,19 @@ def load_vocabulary(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def pieces(text: str) -> Iterator[str]:
+    """The text, in pieces that end where a run of one kind gets LONGEST characters long."""
+    at = 0
+    if len(text) > LONGEST:
+        import regex
+
+        for m in regex.finditer(KINDS, text):
+            for cut in range(m.start() + LONGEST, m.end(), LONGEST):
+                yield text[at:cut]
+                at = cut
+    yield text[at:]
+
+
 class Permutation:
     """A keyed bijection of 0..n-1."""
 
@@ -117,7 +137,7 @@ def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = SEQUE
 
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids = np.append(np.array(coder.encode_ordinary(text.as_py() or ""), kind), np.array([end], kind))
+                ids = np.concatenate([*(np.array(coder.encode_ordinary(x), kind) for x in pieces(text.as_py() or "")), np.array([end], kind)])
                 at = 0
                 while at < len(ids):
                     take = ids[at : at + length - n]
@@ -135,7 +155,7 @@ def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = SEQUE
         if out:
             yield batch()
 
-    cut = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    cut = docs.select(F.expr("try_cast(doc_id AS bigint)").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return save(cut.mapInArrow(run, "part int, place bigint, n_tokens int, doc_ids array<bigint>, starts array<int>, tokens binary"), "sequences")
 
 
