@@ -9,7 +9,7 @@
    signatures leave SCREEN possible are confirmed on the full sets; links join components.
 4. Neighbours of one tree that share the first MINIMUM hashes make a region. A region whose members
    are not all in one component is gone through again, and here the depth adapts: where more
-   than BLOCK members share a prefix, they are parted by the next hash, down to DEPTH. What is
+   than CROWD members share a prefix, they are parted by the next hash, down to DEPTH. What is
    crowded even there is dealt into blocks, and every member outside the region's largest
    component, a stray, meets all blocks: a task holds one block of strays and one of members, bounded in rows
    and in shingles, whatever the region's size. Pairs of different components are settled on the full
@@ -48,8 +48,8 @@ SHINGLE, PERCENT = 5, 85
 TREES, DEPTH, MINIMUM = 20, 8, 5
 #: Bytes of a hash in a signature, and of one tree's key.
 HASH, KEY = 2, 2 * DEPTH
-#: Rows and shingles of a block in which members of a mixed region meet; likeness of signatures under which a pair is ruled out.
-BLOCK, BLOCK_SHINGLES, SCREEN = 256, 1 << 20, 0.73
+#: Members of a mixed region from which on it is parted; rows and shingles of a block in which they meet; likeness of signatures under which a pair is ruled out.
+CROWD, BLOCK, BLOCK_SHINGLES, SCREEN = 256, 128, 1 << 20, 0.73
 _r = np.random.default_rng(85)
 FACTORS = _r.integers(1 << 62, 1 << 63, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
 SHIFTS = _r.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
@@ -252,7 +252,7 @@ def mixed_regions(near: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataF
         held = members.groupBy("tree", "region", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
         regions = held.groupBy("tree", "region").agg(F.count("*").alias("k"), F.sum("n").alias("size"), F.sum("w").alias("weight"), F.max(F.struct("n", "label", "w")).alias("top")).where("k > 1")
         blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_SHINGLES), F.lit(1)).cast("long")
-        ready = (F.col("size") <= BLOCK) if depth < DEPTH else F.lit(True)
+        ready = (F.col("size") <= CROWD) if depth < DEPTH else F.lit(True)
         regions = save(regions.select("tree", "region", "size", F.col("top.label").alias("top"), ready.alias("ready"), blocks(F.col("size") - F.col("top.n"), F.col("weight") - F.col("top.w")).alias("stray_blocks"), blocks(F.col("size"), F.col("weight")).alias("blocks")), "mixed")
         found = regions.groupBy("ready").agg(F.sum("size").alias("n")).collect()  # two rows
         rows = {r["ready"]: r["n"] for r in found}
