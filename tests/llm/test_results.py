@@ -67,31 +67,58 @@ def test_lm_learns_from_every_training_document(spark, docs, monkeypatch):
     assert sum(weights) == counts.n  # words and ends of all training texts, each fitted once
 
 
-def test_lm_gradients():
-    m = language_model
-    r = np.random.default_rng(0)
+class Flat:
+    vocab, rare_n = np.ones(language_model.VOCAB), np.ones(language_model.RARE)
+
+
+def some_parameters(seed):
+    r = np.random.default_rng(seed)
+    return {k: (v + r.normal(0, 0.2, v.shape)).astype(np.float64) for k, v in language_model.start(Flat).items()}
 
-    class Flat:
-        vocab, rare_n = np.ones(m.VOCAB), np.ones(m.RARE)
 
-    p = {k: (v + r.normal(0, 0.1, v.shape)).astype(np.float64) for k, v in m.start(Flat).items()}
-    texts = [r.integers(0, m.VOCAB + m.RARE, 9).astype(np.int32) for _ in range(3)]
+@pytest.mark.parametrize("key", ["emb", "wx", "bx", "u", "wc", "bc", "wo", "bo"])
+def test_lm_gradients(key):
+    m, r = language_model, np.random.default_rng(0)
+    p = some_parameters(0)
+    texts = [r.integers(0, m.VOCAB + m.RARE, n).astype(np.int32) for n in (9, 14, 3, 11)]
     ids, aim, doc, fresh = next(m.windows(texts, 2, 32))
-    real = doc.ravel() >= 0
-
-    def loss(q):
-        states, _ = m.run_window(q, q["emb"] @ q["wx"] + q["bx"], ids, fresh, np.zeros((ids.shape[1], m.HIDDEN)), False)
-        return -m.output(q, states.reshape(-1, m.HIDDEN)[real].astype(np.float64), aim.ravel()[real])[0].sum()
-
-    grads = {k: np.zeros_like(v) for k, v in p.items()}
-    states, _ = m.run_window(p, p["emb"] @ p["wx"] + p["bx"], ids, fresh, np.zeros((ids.shape[1], m.HIDDEN)), False)
-    m.output(p, states.reshape(-1, m.HIDDEN)[real].astype(np.float64), aim.ravel()[real], grads)
-    for k in ("wc", "bc", "bo", "wo"):
-        place = tuple(int(x[0]) for x in np.unravel_index(np.argsort(-np.abs(grads[k]).ravel())[:1], grads[k].shape))
-        up, down = ({j: x.copy() for j, x in p.items()} for _ in range(2))
-        up[k][place] += 1e-3
-        down[k][place] -= 1e-3
-        assert (loss(up) - loss(down)) / 2e-3 == pytest.approx(grads[k][place], rel=2e-2)
+    h = r.normal(0, 0.5, (ids.shape[1], m.HIDDEN))
+    fresh[0] = False  # the window goes on with documents that began before it
+    grads, _, _, words = m.gradients(p, ids, aim, doc, fresh, h)
+    assert words == sum(map(len, texts))
+    for flat in np.argsort(-np.abs(grads[key]).ravel())[:6]:
+        place = np.unravel_index(flat, grads[key].shape)
+        losses = []
+        for step in (1e-5, -1e-5):
+            q = {j: x.copy() for j, x in p.items()}
+            q[key][place] += step
+            losses.append(m.gradients(q, ids, aim, doc, fresh, h)[2])
+        assert (losses[0] - losses[1]) / 2e-5 == pytest.approx(grads[key][place], rel=1e-4)
+
+
+def test_lm_score_word_by_word():
+    """The score of whole documents, against one step after the other without lanes and windows."""
+    m, r = language_model, np.random.default_rng(1)
+    p = some_parameters(1)
+    texts = [r.integers(0, m.VOCAB + m.RARE, n).astype(np.int32) for n in (1, 75, 40, 131)]
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    want = []
+    for t in texts:
+        h, before, total = np.zeros(m.HIDDEN), 0, 0.0
+        for w in t:
+            g, a = p["emb"][before] @ p["wx"] + p["bx"], h @ p["u"]
+            z, reset = sigmoid(g[: m.HIDDEN] + a[: m.HIDDEN]), sigmoid(g[m.HIDDEN : 2 * m.HIDDEN] + a[m.HIDDEN : 2 * m.HIDDEN])
+            h = (1 - z) * np.tanh(g[2 * m.HIDDEN :] + reset * a[2 * m.HIDDEN :]) + z * h
+            kind = w // m.EACH if w < m.VOCAB else m.CLASSES + w - m.VOCAB
+            x = h @ p["wc"] + p["bc"]
+            total += x[kind] - np.log(np.exp(x).sum())
+            if w < m.VOCAB:
+                x = h @ p["wo"][kind] + p["bo"][kind]
+                total += x[w - kind * m.EACH] - np.log(np.exp(x).sum())
+            before = w
+        want.append(total / np.log(10))
+    for lanes in (1, 3):
+        assert m.log10_scores(p, texts, lanes) == pytest.approx(want, rel=1e-4)
 
 
 def test_lm_windows_carry_whole_documents():

@@ -39,8 +39,9 @@ from .common import save
 
 MOD, HELD_OUT = 10, 0
 VOCAB, CLASSES, RARE, KNOWN = 2000, 40, 24, 100_000
-HIDDEN, DIM, WINDOW, LANES, TRAIN_LANES = 16, 16, 16, 512, 48
-ROUNDS, SHARD_TOKENS, MOST_SHARDS = 2, 400_000, 1024
+HIDDEN, DIM, WINDOW, LANES, TRAIN_LANES = 16, 16, 32, 512, 256
+#: Passes of fitting; words of a shard; words that are laid out in lanes at once (more, and long documents leave fewer lanes idle).
+ROUNDS, SHARD_TOKENS, FIT_AT_ONCE, SCORE_AT_ONCE = 2, 2_000_000, 2_500_000, 1_200_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 EACH = VOCAB // CLASSES
 
@@ -142,7 +143,7 @@ def start(counts: Counts, seed: int = 1) -> dict[str, np.ndarray]:
 
 def run_window(p: dict, xt: np.ndarray, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
     """States after each of the window's steps; ``fresh`` marks where a document begins."""
-    steps, out = [], np.empty((*ids.shape, HIDDEN), np.float32)
+    steps, out = [], np.empty((*ids.shape, HIDDEN), h.dtype)
     given, begins = xt[ids], fresh.any(1)
     for t in range(len(ids)):
         if begins[t]:
@@ -158,45 +159,54 @@ def run_window(p: dict, xt: np.ndarray, ids: np.ndarray, fresh: np.ndarray, h: n
         n += g[:, 2 * HIDDEN :]
         np.tanh(n, out=n)
         if keep:
-            steps.append((h, z, r, n, a[:, 2 * HIDDEN :]))
+            steps.append((h, zr, n, a[:, 2 * HIDDEN :]))
         h = n + z * (h - n)
         out[t] = h
     return out, steps
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
-    return x
+def softmax(x: np.ndarray, place: np.ndarray, slopes: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log-probabilities of each row's ``place``, and with ``slopes`` the derivative of their negative sum by ``x``."""
+    if x.size and x.max() > 60:  # float32 ends at exp(88)
+        x -= np.maximum(x.max(1, keepdims=True) - 60, 0)
+    every = np.arange(len(x))
+    aimed = x[every, place]
+    e = np.exp(x, out=x)
+    total = e @ np.ones(e.shape[1], e.dtype)
+    got = aimed.astype(np.float64) - np.log(total.astype(np.float64))
+    if not slopes:
+        return got, None
+    e /= total[:, None]
+    e[every, place] -= 1
+    return got, e
 
 
 def output(p: dict, h: np.ndarray, aim: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log-probabilities of ``aim`` (words, or rare classes from VOCAB on); with ``grads``, adds to them and gives d h."""
-    kind = np.where(aim < VOCAB, aim // EACH, CLASSES + aim - VOCAB)
-    every = np.arange(len(aim))
-    lc = log_softmax(h @ p["wc"] + p["bc"])
-    got = lc[every, kind].astype(np.float64)
+    kind = np.where(aim < VOCAB, aim // EACH, CLASSES + aim - VOCAB).astype(np.int16)
+    slopes = grads is not None
+    got, d = softmax(h @ p["wc"] + p["bc"], kind, slopes)
     dh = None
-    if grads is not None:
-        d = np.exp(lc)
-        d[every, kind] -= 1
+    if slopes:
         grads["wc"] += h.T @ d
         grads["bc"] += d.sum(0)
         dh = d @ p["wc"].T
     order = np.argsort(kind, kind="stable")
     edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+    near, place = h[order[: edges[-1]]], aim[order[: edges[-1]]]
+    inner, back = np.empty(len(near)), np.empty_like(near) if slopes else None
     for c in range(CLASSES):
-        who = order[edges[c] : edges[c + 1]]
-        if len(who):
-            lw = log_softmax(h[who] @ p["wo"][c] + p["bo"][c])
-            place = aim[who] - c * EACH
-            got[who] += lw[np.arange(len(who)), place]
-            if grads is not None:
-                d = np.exp(lw)
-                d[np.arange(len(who)), place] -= 1
-                grads["wo"][c] += h[who].T @ d
+        part = slice(edges[c], edges[c + 1])
+        if part.start < part.stop:
+            x = near[part]
+            inner[part], d = softmax(x @ p["wo"][c] + p["bo"][c], place[part] - c * EACH, slopes)
+            if slopes:
+                grads["wo"][c] += x.T @ d
                 grads["bo"][c] += d.sum(0)
-                dh[who] += d @ p["wo"][c].T
+                back[part] = d @ p["wo"][c].T
+    got[order[: edges[-1]]] += inner
+    if slopes:
+        dh[order[: edges[-1]]] += back
     return got, dh
 
 
@@ -248,50 +258,92 @@ def log10_scores(p: dict, texts: list[np.ndarray], lanes: int = LANES, length: i
     return total / math.log(10)
 
 
+def backward(p: dict, ids: np.ndarray, fresh: np.ndarray, steps: list, part: np.ndarray, g: dict) -> None:
+    """Adds the derivatives of a window by the recurrent parameters to ``g``; ``part`` is that by its states."""
+    length, n = ids.shape
+    dxt, da, dh = np.empty((length, n, 3 * HIDDEN), part.dtype), np.empty((length, n, 3 * HIDDEN), part.dtype), np.zeros((n, HIDDEN), part.dtype)
+    begins, ut = fresh.any(1), np.ascontiguousarray(p["u"].T)
+    for t in reversed(range(length)):
+        before, zr, cand, a = steps[t]
+        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
+        dh += part[t]
+        slope = zr * (1 - zr)
+        dn = dh * (1 - z)
+        dn *= 1 - cand * cand
+        x = dxt[t]
+        np.multiply(dh * (before - cand), slope[:, :HIDDEN], out=x[:, :HIDDEN])
+        np.multiply(dn * a, slope[:, HIDDEN:], out=x[:, HIDDEN : 2 * HIDDEN])
+        x[:, 2 * HIDDEN :] = dn
+        y = da[t]
+        y[:, : 2 * HIDDEN] = x[:, : 2 * HIDDEN]
+        np.multiply(dn, r, out=y[:, 2 * HIDDEN :])
+        dh *= z
+        dh += y @ ut
+        if begins[t]:
+            dh[fresh[t]] = 0
+    states = np.concatenate([s[0] for s in steps])
+    g["u"] += states.T @ da.reshape(-1, 3 * HIDDEN)
+    flat, where = dxt.reshape(-1, 3 * HIDDEN), ids.ravel()
+    g["bx"] += flat.sum(0)
+    g["wx"] += p["emb"][where].T @ flat
+    order = np.argsort(where.astype(np.int16), kind="stable")
+    seen = where[order]
+    first = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
+    g["emb"][seen[first]] += np.add.reduceat((flat @ p["wx"].T)[order], first)
+
+
+def gradients(p: dict, ids: np.ndarray, aim: np.ndarray, doc: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float, int]:
+    """Of a window: derivatives of the negative log-likelihood, the last states, its value and the number of words."""
+    xt = p["emb"] @ p["wx"] + p["bx"]
+    states, steps = run_window(p, xt, ids, fresh, h, True)
+    real = doc.ravel() >= 0
+    g = {k: np.zeros_like(x) for k, x in p.items()}
+    got, part = output(p, states.reshape(-1, HIDDEN)[real], aim.ravel()[real], g)
+    back = np.zeros((real.size, HIDDEN), part.dtype)
+    back[real] = part
+    backward(p, ids, fresh, steps, back.reshape(*ids.shape, HIDDEN), g)
+    return g, states[-1], -float(got.sum()), int(real.sum())
+
+
+class Adam:
+    """All parameters in one vector, so that a step is a few operations."""
+
+    def __init__(self, p: dict):
+        self.keys = sorted(p)
+        self.flat = np.concatenate([p[k].ravel() for k in self.keys])
+        self.m, self.v, self.t = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
+        self.p, at = {}, 0
+        for k in self.keys:
+            self.p[k] = self.flat[at : at + p[k].size].reshape(p[k].shape)
+            at += p[k].size
+
+    def step(self, g: dict, scale: float, rate: float) -> None:
+        x = np.concatenate([g[k].ravel() for k in self.keys])
+        x *= np.float32(scale)
+        self.t += 1
+        self.m += np.float32(0.1) * (x - self.m)
+        x *= x
+        x -= self.v
+        x *= np.float32(0.01)
+        self.v += x
+        root = np.sqrt(self.v / np.float32(1 - 0.99**self.t))
+        root += np.float32(1e-5)
+        self.flat -= np.float32(rate / (1 - 0.9**self.t)) * (self.m / root)
+
+
 def train(p: dict, batches: Iterator[list[np.ndarray]], rate: float) -> tuple[dict, int]:
     """Truncated back-propagation with Adam over the documents of each batch; the new parameters and the number of words."""
-    p = {k: v.copy() for k, v in p.items()}
-    m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-    seen = step = 0
+    adam = Adam(p)
+    seen = 0
     for texts in batches:
         h = None
         for ids, aim, doc, fresh in windows(texts, TRAIN_LANES, WINDOW):
             n = ids.shape[1]
             h = np.zeros((n, HIDDEN), np.float32) if h is None else h[:n]
-            xt = p["emb"] @ p["wx"] + p["bx"]
-            states, steps = run_window(p, xt, ids, fresh, h, True)
-            h = states[-1]
-            real = doc.ravel() >= 0
-            g = {k: np.zeros_like(x) for k, x in p.items()}
-            _, part = output(p, states.reshape(-1, HIDDEN)[real], aim.ravel()[real], g)
-            back = np.zeros((len(ids) * n, HIDDEN), np.float32)
-            back[real] = part
-            back = back.reshape(len(ids), n, HIDDEN)
-            dxt, dh = np.zeros((len(ids), n, 3 * HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
-            for t in reversed(range(len(ids))):
-                before, z, r, cand, a = steps[t]
-                d = back[t] + dh
-                dn = d * (1 - z) * (1 - cand * cand)
-                dz = d * (before - cand) * z * (1 - z)
-                dr = dn * a * r * (1 - r)
-                da = np.concatenate([dz, dr, dn * r], 1)
-                dxt[t] = np.concatenate([dz, dr, dn], 1)
-                g["u"] += before.T @ da
-                dh = d * z + da @ p["u"].T
-                dh[fresh[t]] = 0
-            flat, where = dxt.reshape(-1, 3 * HIDDEN), ids.ravel()
-            g["bx"] += flat.sum(0)
-            g["wx"] += p["emb"][where].T @ flat
-            np.add.at(g["emb"], where, flat @ p["wx"].T)
-            step += 1
-            seen += int(real.sum())
-            scale = 1 / max(1, real.sum())
-            for k, x in g.items():
-                x *= scale
-                m[k] += 0.1 * (x - m[k])
-                v[k] += 0.01 * (x * x - v[k])
-                p[k] -= np.float32(rate) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-5)
-    return p, seen
+            g, h, _, words = gradients(adam.p, ids, aim, doc, fresh, h)
+            seen += words
+            adam.step(g, 1 / max(1, words), rate)
+    return adam.p, seen
 
 
 def pack(p: dict) -> bytes:
@@ -331,7 +383,7 @@ def fit(docs: DataFrame, counts: Counts, shared: object) -> dict:
     params = start(counts)
     if not counts.n:
         return params
-    shards = max(1, min(MOST_SHARDS, math.ceil(counts.n / ROUNDS / SHARD_TOKENS)))
+    shards = max(1, math.ceil(counts.n / ROUNDS / SHARD_TOKENS))
     turn = F.crc32(F.concat(F.lit("lm:"), F.col("doc_id").cast("string")).cast("binary")) % ROUNDS
     for k in range(ROUNDS):
         begin = spark.sparkContext.broadcast(params)
@@ -347,7 +399,7 @@ def fit(docs: DataFrame, counts: Counts, shared: object) -> dict:
                     for t in b.column("text").cast(pa.binary()):
                         part.append(coder.code(tokens(t.as_py()))[0])
                         size += len(part[-1])
-                        if size > 100_000:
+                        if size > FIT_AT_ONCE:
                             yield part
                             part, size = [], 0
                 if part:
@@ -392,7 +444,7 @@ def score(docs: DataFrame) -> DataFrame:
             while at < whole.num_rows:
                 ids, out = [], {k: [] for k in ("n", "known", "base", "within", "words", "times")}
                 size, first = 0, at
-                while at < whole.num_rows and size < 600_000:
+                while at < whole.num_rows and size < SCORE_AT_ONCE:
                     code, place, missing = coder.code(tokens(whole.column("text")[at].cast(pa.binary()).as_py()))
                     found = place[place >= 0]
                     rare = Counter(missing)
