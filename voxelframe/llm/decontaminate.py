@@ -5,8 +5,10 @@ stream past it, and for every word the length of the longest item passage that e
 is known. A window is WINDOW consecutive item words (a shorter item is one window); a word
 inside any occurrence of a window is hit.
 
-Items are a stated set: they go into automata of at most BLOCK_WORDS words each, which bounds
-what is broadcast; with more items, the documents stream past one automaton after another.
+Items are a stated set: they go into automata of at most BLOCK_WORDS words each (or one item), which bounds
+what is broadcast: some 60 bytes a word and the distinct words themselves; with more items, the documents stream past one
+automaton after another. While it is built an automaton has one dictionary of all arcs; then its states, arcs and
+items are sorted arrays.
 Before the walk, a table of all item word triples (or shorter, if the shortest item is)
 picks out the stretches in which a window can lie at all; that loses nothing, as every
 window is made of such triples.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from array import array
 from itertools import repeat
 
 import numpy as np
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import save
 
 WINDOW = 13
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 1_000_000
 #: Bytes that part words become a space, A-Z become a-z; all of UTF-8's other bytes stay.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -41,83 +44,132 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Automaton:
-    """Generalised suffix automaton over word numbers, with the items of each window."""
+    """Generalised suffix automaton over word numbers, with the items of each window, in flat arrays.
+
+    ``arcs`` are state << 32 | word, sorted, ``to`` the states they lead to; the root's are also in ``roots``, by word.
+    ``window_states`` is sorted, the items of the k-th are ``window_items[window_from[k] : window_from[k + 1]]``.
+    """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.vocab: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.len = [-1], [0]
         items = [(name, w) for name, w in items if w]
-        coded = [(name, [self.vocab.setdefault(x, len(self.vocab) + 1) for x in w]) for name, w in items]
+        self.names = sorted({name for name, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        coded = [(number[name], array("i", [self.vocab.setdefault(x, len(self.vocab) + 1) for x in w])) for name, w in items]
+        del items
         self.shortest = min((min(len(w), window) for _, w in coded), default=0)
         self.gram = min(3, self.shortest)
-        ends = [self._insert(w) for _, w in coded]
-        self.items: list[set[str]] = [set() for _ in self.next]  # of states whose words include a window
-        self.short: dict[int, list[tuple[int, str]]] = {}  # state: (length, item) of whole short items
-        for (name, w), last in zip(coded, ends, strict=True):
-            if len(w) < window:
-                state = last
-                while self.len[self.link[state]] >= len(w):
-                    state = self.link[state]
-                self.short.setdefault(state, []).append((len(w), name))
-            else:
-                state = 0
-                for k, x in enumerate(w):
-                    state = self.next[state][x]
-                    if k + 1 >= window:
-                        self.items[self.window_state(state)].add(name)
-        self.chain = self._chains()
+        self._build(coded)
         self._grams(coded)
 
-    def _insert(self, w: list[int]) -> int:
-        last = 0
-        for x in w:
-            if (q := self.next[last].get(x)) is not None:
-                last = q if self.len[q] == self.len[last] + 1 else self._clone(last, x, q)
+    def _build(self, coded: list[tuple[int, array]]) -> None:
+        arcs: dict[int, int] = {}  # state << 32 | word: state
+        link, length = array("i", [-1]), array("i", [0])
+        # the words of a state's arcs, as a linked list: a clone takes them over
+        head, word, after = array("i", [-1]), array("i"), array("i")
+
+        def put(state: int, x: int, to: int) -> None:
+            key = state << 32 | x
+            if key not in arcs:
+                word.append(x)
+                after.append(head[state])
+                head[state] = len(word) - 1
+            arcs[key] = to
+
+        def state_of(n: int) -> int:
+            length.append(n)
+            link.append(0)
+            head.append(-1)
+            return len(length) - 1
+
+        def clone(p: int, x: int, q: int) -> int:
+            twin = state_of(length[p] + 1)
+            at = head[q]
+            while at >= 0:
+                put(twin, word[at], arcs[q << 32 | word[at]])
+                at = after[at]
+            link[twin] = link[q]
+            link[q] = twin
+            while p != -1 and arcs.get(p << 32 | x) == q:
+                arcs[p << 32 | x] = twin
+                p = link[p]
+            return twin
+
+        def insert(w: array) -> int:
+            last = 0
+            for x in w:
+                if (q := arcs.get(last << 32 | x)) is not None:
+                    last = q if length[q] == length[last] + 1 else clone(last, x, q)
+                    continue
+                state = state_of(length[last] + 1)
+                p = last
+                while p != -1 and (p << 32 | x) not in arcs:
+                    put(p, x, state)
+                    p = link[p]
+                if p != -1:
+                    q = arcs[p << 32 | x]
+                    link[state] = q if length[q] == length[p] + 1 else clone(p, x, q)
+                last = state
+            return last
+
+        ends = [insert(w) for _, w in coded]
+        del head, word, after
+        windows = array("q")  # state << 32 | item
+        self.short: dict[int, list[tuple[int, int]]] = {}  # state: (length, item) of whole short items
+        for (name, w), state in zip(coded, ends, strict=True):
+            if len(w) < self.window:
+                while length[link[state]] >= len(w):
+                    state = link[state]
+                self.short.setdefault(state, []).append((len(w), name))
                 continue
-            state = self._state(self.len[last] + 1, {})
-            p = last
-            while p != -1 and x not in self.next[p]:
-                self.next[p][x] = state
-                p = self.link[p]
-            if p == -1:
-                self.link[state] = 0
-            else:
-                q = self.next[p][x]
-                self.link[state] = q if self.len[q] == self.len[p] + 1 else self._clone(p, x, q)
-            last = state
-        return last
-
-    def _state(self, length: int, arcs: dict[int, int]) -> int:
-        self.next.append(arcs)
-        self.len.append(length)
-        self.link.append(0)
-        return len(self.next) - 1
-
-    def _clone(self, p: int, x: int, q: int) -> int:
-        twin = self._state(self.len[p] + 1, dict(self.next[q]))
-        self.link[twin] = self.link[q]
-        self.link[q] = twin
-        while p != -1 and self.next[p].get(x) == q:
-            self.next[p][x] = twin
-            p = self.link[p]
-        return twin
-
-    def window_state(self, state: int) -> int:
-        """The state of the last ``window`` words of what ``state`` stands for."""
+            state = 0
+            for k, x in enumerate(w):
+                state = arcs[state << 32 | x]
+                if k + 1 >= self.window:
+                    at = state
+                    while length[link[at]] >= self.window:
+                        at = link[at]
+                    windows.append(at << 32 | name)
+        keys = np.fromiter(arcs.keys(), np.int64, len(arcs))
+        to = np.fromiter(arcs.values(), np.int32, len(arcs))
+        arcs.clear()
+        order = np.argsort(keys)
+        self.arcs, self.to = keys[order], to[order]
+        self.link, self.len = np.array(link, np.int32), np.array(length, np.int32)
+        self.roots = np.zeros(len(self.vocab) + 1, np.int32)
+        first = self.arcs[: np.searchsorted(self.arcs, 1 << 32)]
+        self.roots[first] = self.to[: len(first)]
+        pairs = np.unique(np.array(windows, np.int64))
+        self.window_states, starts = np.unique(pairs >> 32, return_index=True)
+        self.window_from, self.window_items = np.append(starts, len(pairs)), (pairs & 0xFFFFFFFF).astype(np.int32)
+        # for each state, the nearest state up its suffix links (itself included) with short items, or -1
+        self.chain = np.full(len(self.link), -1, np.int32)
+        if self.short:
+            whole = np.fromiter(self.short, np.int32, len(self.short))
+            self.chain[whole] = whole
+            for s in np.argsort(self.len, kind="stable")[1:]:
+                if self.chain[s] < 0:
+                    self.chain[s] = self.chain[self.link[s]]
+
+    def follow(self, state: int, x: int) -> int:
+        """The state that word ``x`` leads to, or 0, which no arc leads to."""
+        if not state:
+            return int(self.roots[x])
+        key = state << 32 | x
+        at = self.arcs.searchsorted(key)
+        return int(self.to[at]) if at < len(self.arcs) and self.arcs[at] == key else 0
+
+    def items_of(self, state: int) -> list[str]:
+        """The items with the window that ends in ``state``."""
         while self.len[self.link[state]] >= self.window:
             state = self.link[state]
-        return state
-
-    def _chains(self) -> list[int]:
-        """For each state, the nearest state up its suffix links (itself included) with short items, or -1."""
-        out = [-1] * len(self.next)
-        for s in sorted(range(1, len(self.next)), key=self.len.__getitem__):
-            out[s] = s if s in self.short else out[self.link[s]]
-        return out
+        at = self.window_states.searchsorted(state)
+        if at == len(self.window_states) or self.window_states[at] != state:
+            return []
+        return [self.names[k] for k in self.window_items[self.window_from[at] : self.window_from[at + 1]]]
 
-    def _grams(self, coded: list[tuple[str, list[int]]]) -> None:
+    def _grams(self, coded: list[tuple[int, array]]) -> None:
         n, codes = self.gram, []
         for _, w in coded:
             codes.append(self.codes(np.array(w, dtype=np.uint64)))
@@ -157,25 +209,27 @@ class Automaton:
         return spans, found
 
     def _walk(self, ids: np.ndarray, first: int, stop: int, spans: list[tuple[int, int]], found: set[str]) -> None:
-        nxt, link, length, window = self.next, self.link, self.len, self.window
+        link, length, window = self.link, self.len, self.window
         state = n = 0
         for i, x in enumerate(ids[first:stop].tolist(), first):
-            while state and x not in nxt[state]:
-                state = link[state]
-                n = length[state]
-            if (to := nxt[state].get(x)) is not None:
+            to = self.follow(state, x)
+            while state and not to:
+                state = int(link[state])
+                n = int(length[state])
+                to = self.follow(state, x)
+            if to:
                 state, n = to, n + 1
             reach = 0
             if n >= window:
-                found |= self.items[self.window_state(state)]
+                found.update(self.items_of(state))
                 reach = window
-            s = self.chain[state]
+            s = int(self.chain[state])
             while s != -1:
                 for k, name in self.short[s]:
                     if k <= n:
-                        found.add(name)
+                        found.add(self.names[name])
                         reach = max(reach, k)
-                s = self.chain[self.link[s]]
+                s = int(self.chain[link[s]])
             if reach:
                 a = i + 1 - reach
                 while spans and spans[-1][1] >= a:
