@@ -4,13 +4,13 @@ Trusted positives are rows labelled 1; unlabelled rows are any texts of the tabl
 network on measures of style (a histogram of bytes, repetition, line and word lengths) plus a
 mean of hashed word weights is fitted in numpy on
     prior * R_p+ + max(0, R_u- - prior * R_p-)
-with the logistic loss. The class prior is estimated from unlabelled and positive scores of a
+with the logistic loss. The class prior is estimated from the scores of all documents (a histogram) and of positives by a
 first classifier that tells positives from unlabelled rows: the least ratio of the two
 distribution functions in the tail. Labelled rows, zeros included, then only set the
 scale on which 0.7 is a cut (Platt).
 
 Bounds: at most POSITIVES, UNLABELLED and CALIBRATION rows are fitted, those with the
-smallest hashes of doc_id; every text is read and scored whole.
+smallest hashes of doc_id (some 24 KB each at most, whatever their texts); every text is read and scored whole.
 
 Defined results: null and empty texts are scored as texts of no words; a null doc_id is never
 learned from and not held out; with no positives every score is 0.5; repeated rows
@@ -31,6 +31,8 @@ from .labelled import marks, pick, platt, remainder, sigmoid
 
 POSITIVES, UNLABELLED, CALIBRATION = 4000, 4000, 4000
 BUCKETS, HIDDEN, CUT = 1 << 12, 24, 0.7
+#: Cells of the histogram of all documents' logits, between -REACH and REACH.
+CELLS, REACH = 4096, 32.0
 MOD, HELD_OUT = 4, 2
 PRINTABLE = np.arange(33, 127)
 SYMBOLS = np.array([b for b in PRINTABLE if not chr(b).isalnum()])
@@ -144,20 +146,39 @@ def _fit(pos: Rows, unl: Rows, prior: float, epochs: int, seed: int, pu: bool) -
     return net
 
 
-def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
-    """The share of positives among the unlabelled, from scores that need only rank.
+def estimate_prior(pos: np.ndarray, unl: np.ndarray, weight: np.ndarray | None = None) -> float:
+    """The share of positives among the unlabelled, from scores that need only rank; ``weight`` counts each of ``unl``.
 
     Below any score t there is prior * P(t) + (1 - prior) * N(t) of the unlabelled, and N is
     at most 1; above it at least prior * (1 - P(t)). The least upper bound over t counts,
     with a margin of one standard error.
     """
-    best = 1.0
+    weight = np.ones(len(unl)) if weight is None else weight
+    best, n = 1.0, weight.sum()
     for t in np.quantile(pos, np.linspace(0.02, 0.7, 35)):
-        p, u = (pos >= t).mean(), (unl >= t).mean()
-        best = min(best, (u + (u * (1 - u) / len(unl)) ** 0.5) / max(p - (p * (1 - p) / len(pos)) ** 0.5, 1e-6))
+        p, u = (pos >= t).mean(), weight[unl >= t].sum() / n
+        best = min(best, (u + (u * (1 - u) / n) ** 0.5) / max(p - (p * (1 - p) / len(pos)) ** 0.5, 1e-6))
     return float(np.clip(best, 0.05, 0.98))
 
 
+def spread(docs: DataFrame, model: dict, without: set) -> tuple[np.ndarray, np.ndarray]:
+    """Middles and counts of the cells that hold the logits of all documents but those of the doc_ids ``without``."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, without))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, without = shared.value
+        found = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
+                if i not in without:
+                    found[int(np.clip((logit(model, t.as_py()) + REACH) / (2 * REACH) * CELLS, 0, CELLS - 1))] += 1
+        held = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(found[held], pa.int64())], names=["cell", "n"])
+
+    cells = docs.select("doc_id", "text").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # CELLS rows at most
+    return np.array([(r["cell"] + 0.5) / CELLS * 2 * REACH - REACH for r in cells]), np.array([r["n"] for r in cells], np.float64)
+
+
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 4) -> dict | None:
     """The model (arrays only) from at most the documented number of rows; None without positives."""
     marked = marks(labels, "quality", MOD, HELD_OUT)
@@ -165,7 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 4) -> dict | None:
     cal = pick(marked, CALIBRATION, "calibration").select("doc_id", F.lit("c").alias("kind"), "y")
     unl = pick(docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), UNLABELLED, "unlabelled").select("doc_id", F.lit("u").alias("kind"), F.lit(-1).alias("y"))
     wanted = pos.unionByName(cal).unionByName(unl).groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"), F.max("y").alias("y"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"])
+    # POSITIVES + UNLABELLED + CALIBRATION rows at most; of a doc_id's several texts the first in order counts
+    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "kinds", "y")).alias("r")).select("doc_id", "r.*")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 4) -> dict | None:
                 names=["doc_id", "kinds", "y", "x", "k", "n"],
             )
 
-    got = rows.mapInArrow(measure, "doc_id bigint, kinds array<string>, y int, x array<float>, k array<smallint>, n array<int>").toPandas().sort_values("doc_id", ignore_index=True)
+    got = rows.mapInArrow(measure, f"doc_id {kind}, kinds array<string>, y int, x array<float>, k array<smallint>, n array<int>").toPandas().sort_values("doc_id", ignore_index=True)
     kinds = {c: got.kinds.map(lambda s, c=c: c in s).to_numpy(bool) if len(got) else np.zeros(0, bool) for c in "pcu"}
     if kinds["p"].sum() < 2 or not kinds["u"].any():
         return None
@@ -184,28 +207,34 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 4) -> dict | None:
     mean, sd = x[kinds["u"]].mean(0), x[kinds["u"]].std(0) + 1e-3
     x = np.clip((x - mean) / sd, -8, 8)
     bags = Bags(list(got.k), list(got.n))
-    y = got.y.to_numpy()
+    y, names = got.y.to_numpy(), got.doc_id.tolist()
     del got
     take = lambda who: Rows(x, bags, np.flatnonzero(who))
     half = np.arange(len(y)) % 2 == 0
-    first = _fit(take(kinds["p"] & half), take(kinds["u"] & half), 0.5, 6, seed, False) if (kinds["p"] & half).any() and (kinds["u"] & half).any() else None
-    a, b = kinds["p"] & ~half, kinds["u"] & ~half
-    prior = estimate_prior(take(a).logits(first), take(b).logits(first)) if first and a.any() and b.any() else 0.5
+    fitted, kept_back, prior = (kinds["p"] | kinds["u"]) & half, kinds["p"] & ~half, 0.5
+    if (kinds["p"] & half).any() and (kinds["u"] & half).any() and kept_back.any():
+        first = _fit(take(kinds["p"] & half), take(kinds["u"] & half), 0.5, 6, seed, False)
+        middles, counts = spread(docs, {"p": first.p, "mean": mean, "sd": sd}, {names[k] for k in np.flatnonzero(fitted)})
+        prior = estimate_prior(take(kept_back).logits(first), middles, counts) if len(counts) else prior
     net = _fit(take(kinds["p"]), take(kinds["u"]), prior, 14, seed, True)
     who = kinds["c"]
     scale = platt(take(who).logits(net), y[who], np.ones(int(who.sum())))
     return {"p": net.p, "mean": mean, "sd": sd, "scale": scale, "prior": prior}
 
 
-def score_text(model: dict | None, text: bytes | None) -> float:
-    if model is None:
-        return 0.5
+def logit(model: dict, text: bytes | None) -> float:
+    """The network's value of a whole text."""
     x, ids = features(text)
     x = np.clip((x - model["mean"]) / model["sd"], -8, 8)
     p = model["p"]
-    g = np.tanh(x @ p["w1"] + p["b1"]) @ p["w2"] + x @ p["lin"] + (p["words"][ids].mean() if len(ids) else 0.0) + p["b"][0]
+    return float(np.tanh(x @ p["w1"] + p["b1"]) @ p["w2"] + x @ p["lin"] + (p["words"][ids].mean() if len(ids) else 0.0) + p["b"][0])
+
+
+def score_text(model: dict | None, text: bytes | None) -> float:
+    if model is None:
+        return 0.5
     a, b = model["scale"]
-    return float(sigmoid(np.asarray(a * g + b)))
+    return float(sigmoid(np.asarray(a * logit(model, text) + b)))
 
 
 def add_score(docs: DataFrame, model: dict | None, name: str = "score") -> DataFrame:
