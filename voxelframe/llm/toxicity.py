@@ -9,7 +9,7 @@ back from fitting (Platt); on the same rows a cut is found for each language, wh
 reported beside the score and is no input of it.
 
 Bounds: at most TOXIC and CLEAN labelled rows are fitted, those with the smallest hashes of
-doc_id; every text is read and scored whole.
+doc_id, as far as their whole texts fill FIT_BYTES; every text is read and scored whole.
 
 Defined results: null and empty texts are scored as texts without words; a null doc_id is
 never learned from and not held out; with labels of one kind only every score is 0.5 (cut
@@ -24,13 +24,13 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decontaminate import words_of
 from .labelled import marks, pick, platt, remainder, sigmoid
 
-TOXIC, CLEAN = 1500, 2500
+TOXIC, CLEAN, FIT_BYTES = 1500, 2500, 64 << 20
 TABLE_BITS, DIM, WIDTHS, FILTERS, EPOCHS = 18, 12, (1, 2, 3), 12, 8
 #: Bytes of a word's beginning that are hashed besides the whole word; words that a worker remembers.
 STEMS, REMEMBERED = (4, 5, 6, 7, 8), 200_000
@@ -186,14 +186,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict | None, dict[str, floa
     marked = marks(labels, "toxic", MOD, HELD_OUT)
     counts = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     wanted = pick(marked.where("y = 1"), TOXIC, "toxic").unionByName(pick(marked.where("y = 0"), CLEAN, "clean"))
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    # of a doc_id's several texts the first in order counts; TOXIC + CLEAN rows at most go through the window
+    sizes = docs.select("doc_id", F.octet_length("text").alias("n")).join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "y").agg(F.max("n").alias("n"))
+    upto = F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy(F.md5(F.concat(F.lit("fit:"), F.col("doc_id").cast("string"))), "doc_id"))
+    fitting = sizes.withColumn("upto", upto).where(F.col("upto") <= FIT_BYTES).select("doc_id", "y")
+    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(fitting), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "y")).alias("r")).select("doc_id", "r.*")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [b" ".join(words_of(t.as_py())) for t in b.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang").cast(pa.string()), b.column("y"), pa.array(got, pa.binary())], names=["doc_id", "lang", "y", "words"])
 
-    got = rows.mapInArrow(code, "doc_id bigint, lang string, y int, words binary").toPandas().sort_values("doc_id", ignore_index=True)
+    got = rows.mapInArrow(code, f"doc_id {kind}, lang string, y int, words binary").toPandas().sort_values("doc_id", ignore_index=True)
     y = got.y.to_numpy(int)
     if len(y) < 8 or y.min() == y.max():
         return None, {}
