@@ -444,6 +444,65 @@ def test_held_out_accuracy(spark, run, label, column):
     assert sum(r[column] == r[label] for r in got) / len(got) >= 0.9
 
 
+def test_positive_unlabelled_risk():
+    """The step of the non-negative risk against differences of the risk itself, parameter by parameter."""
+    q, r = quality, np.random.default_rng(4)
+    x, bags, n = r.normal(0, 1, (12, 5)), r.random((12, q.BUCKETS)) * (r.random((12, q.BUCKETS)) < 0.01), 5
+    for prior, shift, sign in ((0.4, 0.0, 1), (0.9, -6.0, -1)):
+        net = q.Net(5, 1)
+        net.p["words"] = r.normal(0, 0.5, q.BUCKETS)
+        net.p["b"] = np.array([shift])
+        if sign < 0:  # positives score high, the others low: the negative part is under 0
+            x[:n, 0], x[n:, 0], net.p["lin"][0] = 6, -6, 2.0
+
+        def parts(p):
+            g = np.tanh(x @ p["w1"] + p["b1"]) @ p["w2"] + x @ p["lin"] + bags @ p["words"] + p["b"]
+            loss = lambda z: np.log1p(np.exp(-z)).mean()
+            return prior * loss(g[:n]), loss(-g[n:]) - prior * loss(-g[:n])
+
+        assert (parts(net.p)[1] >= 0) == (sign > 0)
+        g, h = net.forward(x, bags)
+        grads = net.gradients(x, bags, h, q.risk_slope(g, n, prior))
+        for k, grad in grads.items():
+            for flat in np.argsort(-np.abs(grad).ravel())[:4]:
+                place, got = np.unravel_index(flat, grad.shape), []
+                for step in (1e-5, -1e-5):
+                    p = {j: v.copy() for j, v in net.p.items()}
+                    p[k][place] += step
+                    a, b = parts(p)
+                    got.append(a + b if sign > 0 else -b)
+                assert (got[0] - got[1]) / 2e-5 == pytest.approx(grad[place], rel=1e-3, abs=1e-7)
+
+
+def test_convolution_gradients():
+    t, r = toxicity, np.random.default_rng(5)
+    x = np.concatenate([r.normal(0, 1, (9, t.DIM)), np.zeros((2, t.DIM))])
+    filters, bias, out = r.normal(0, 0.5, (t.DIM, sum(t.WIDTHS) * t.FILTERS)), r.normal(0, 0.1, len(t.WIDTHS) * t.FILTERS), r.normal(0, 0.5, len(t.WIDTHS) * t.FILTERS)
+
+    def loss(x, filters, bias, out, base):
+        best = []
+        for f, w in enumerate(t.WIDTHS):
+            for k in range(t.FILTERS):
+                values = [sum(x[i + j] @ filters[:, t.COLUMNS[f][j] + k] for j in range(w)) + bias[f * t.FILTERS + k] for i in range(len(x) - 2)]
+                best.append(max(max(values), 0))
+        return 1.7 * np.log1p(np.exp(-(np.array(best) @ out + base)))
+
+    h, slopes = t.backward(x, filters, bias, out, 0.3, 1.0, 1.7)
+    words = np.zeros_like(x)
+    for p, g in slopes["words"]:
+        np.add.at(words, p, g)
+    words[-2:] = 0
+    at = {"x": x, "filters": filters, "bias": bias, "out": out}
+    for name, grad in (("x", words), ("filters", slopes["filters"]), ("bias", slopes["bias"]), ("out", slopes["out"])):
+        for flat in np.argsort(-np.abs(grad).ravel())[:8]:
+            place, got = np.unravel_index(flat, grad.shape), []
+            for step in (1e-4, -1e-4):
+                moved = {k: v.copy() for k, v in at.items()}
+                moved[name][place] += step
+                got.append(loss(**moved, base=0.3))
+            assert (got[0] - got[1]) / 2e-4 == pytest.approx(grad[place], rel=5e-3, abs=1e-6)
+
+
 def test_prior():
     r = np.random.default_rng(0)
     pos, neg = r.normal(2, 1, 4000), r.normal(-2, 1, 4000)

@@ -76,12 +76,15 @@ class Net:
         h = np.tanh(x @ self.p["w1"] + self.p["b1"])
         return h @ self.p["w2"] + x @ self.p["lin"] + bags @ self.p["words"] + self.p["b"], h
 
+    def gradients(self, x: np.ndarray, bags: np.ndarray, h: np.ndarray, d: np.ndarray) -> dict[str, np.ndarray]:
+        """Derivatives by the parameters from ``d``, those by each row's logit."""
+        back = (d[:, None] * self.p["w2"]) * (1 - h * h)
+        return {"w1": x.T @ back, "b1": back.sum(0), "w2": h.T @ d, "lin": x.T @ d, "words": bags.T @ d, "b": d.sum(keepdims=True)}
+
     def step(self, x: np.ndarray, bags: np.ndarray, h: np.ndarray, d: np.ndarray, rate: float, decay: float) -> None:
         """One Adam step along ``d``, the derivative of the risk by each row's logit."""
-        back = (d[:, None] * self.p["w2"]) * (1 - h * h)
-        grads = {"w1": x.T @ back, "b1": back.sum(0), "w2": h.T @ d, "lin": x.T @ d, "words": bags.T @ d, "b": d.sum(keepdims=True)}
         self.t += 1
-        for k, g in grads.items():
+        for k, g in self.gradients(x, bags, h, d).items():
             g = g + decay * (10 if k == "words" else 1) * self.p[k] * (k not in ("b", "b1"))
             self.m[k] = 0.9 * self.m[k] + 0.1 * g
             self.v[k] = 0.999 * self.v[k] + 0.001 * g * g
@@ -120,6 +123,24 @@ class Rows:
         return np.concatenate([np.zeros(0), *(net.forward(*self.batch(k))[0] for k in np.array_split(np.arange(len(self)), len(self) // 512 + 1))])
 
 
+def plain_slope(g: np.ndarray, n: int) -> np.ndarray:
+    """Derivative of the mean logistic losses of ``n`` positives and of the others as negatives, by each logit."""
+    s = sigmoid(g)
+    return np.concatenate([(s[:n] - 1) / n, s[n:] / (len(g) - n)]) / 2
+
+
+def risk_slope(g: np.ndarray, n: int, prior: float) -> np.ndarray:
+    """Derivative of prior * R_p+ + R_u- - prior * R_p- by each logit, the first ``n`` those of positives.
+
+    Where R_u- - prior * R_p- is negative, the negative part is fitted too well: the step goes back up along it alone.
+    """
+    s, m = sigmoid(g), len(g) - n
+    negative = np.logaddexp(0, g[n:]).mean() - prior * np.logaddexp(0, g[:n]).mean()
+    if negative >= 0:
+        return np.concatenate([prior * (s[:n] - 1) / n - prior * s[:n] / n, s[n:] / m])
+    return np.concatenate([prior * s[:n] / n, -s[n:] / m])
+
+
 def _fit(pos: Rows, unl: Rows, prior: float, epochs: int, seed: int, pu: bool) -> Net:
     """Non-negative PU risk, or with ``pu`` false plain logistic loss of positives against unlabelled."""
     net, r = Net(pos.x.shape[1], seed), np.random.default_rng(seed)
@@ -130,18 +151,7 @@ def _fit(pos: Rows, unl: Rows, prior: float, epochs: int, seed: int, pu: bool) -
                 continue
             x, bags = map(np.concatenate, zip(pos.batch(a), unl.batch(b), strict=True))
             g, h = net.forward(x, bags)
-            n, s = len(a), sigmoid(g)
-            d = np.zeros_like(g)
-            if not pu:
-                d[:n], d[n:] = (s[:n] - 1) / n / 2, s[n:] / len(b) / 2
-            else:
-                negative = np.logaddexp(0, g[n:]).mean() - prior * np.logaddexp(0, g[:n]).mean()
-                if negative >= 0:
-                    d[:n] = prior * (s[:n] - 1) / n - prior * s[:n] / n
-                    d[n:] = s[n:] / len(b)
-                else:  # the negative part is fitted too well: go back up
-                    d[:n] = prior * s[:n] / n
-                    d[n:] = -s[n:] / len(b)
+            d = risk_slope(g, len(a), prior) if pu else plain_slope(g, len(a))
             net.step(x, bags, h, d, 0.01 * (1 - 0.9 * e / epochs), 1e-4)
     return net
 

@@ -59,6 +59,29 @@ def convolve(x: np.ndarray, filters: np.ndarray, bias: np.ndarray) -> np.ndarray
     return out + bias
 
 
+def forward(x: np.ndarray, filters: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each filter's greatest value over the words, 0 at least, and where it is; ``x`` ends with two rows of zeros."""
+    c = convolve(x, filters, bias) if len(x) > 2 else np.full((1, len(bias)), -1.0, np.float32)
+    best = c.argmax(0)
+    return np.maximum(c[best, np.arange(len(bias))], 0), best
+
+
+def backward(x: np.ndarray, filters: np.ndarray, bias: np.ndarray, out: np.ndarray, base: float, y: float, weight: float) -> tuple[np.ndarray, dict]:
+    """The pooled values of a text, and the derivatives of its weighted log loss; ``words`` lists (places, derivatives by x there)."""
+    h, best = forward(x, filters, bias)
+    d = float(sigmoid(h @ out + base) - y) * weight
+    back = d * out * (h > 0)
+    slopes = {"out": d * h, "base": d, "bias": back, "filters": np.zeros_like(filters), "words": []}
+    if len(x) > 2:
+        for f, at in enumerate(COLUMNS):
+            part = slice(f * FILTERS, (f + 1) * FILTERS)
+            for j, col in enumerate(at):
+                p = best[part] + j
+                slopes["filters"][:, col : col + FILTERS] = x[p].T * back[part]
+                slopes["words"].append((p, back[part][:, None] * filters[:, col : col + FILTERS].T))
+    return h, slopes
+
+
 def train(texts: list[list[bytes]], y: np.ndarray, seed: int = 8) -> dict:
     """Adagrad on the log loss, both classes weighing the same; ``texts`` are lists of words."""
     r = np.random.default_rng(seed)
@@ -90,25 +113,14 @@ def train(texts: list[list[bytes]], y: np.ndarray, seed: int = 8) -> dict:
             touched, deltas = [], []
             for i in batch:
                 k = np.concatenate([known[ids[i]], np.full((2, known.shape[1]), PAD, np.int32)])
-                x = table[k].sum(1)
-                c = convolve(x, filters, bias) if len(k) > 2 else np.full((1, len(bias)), -1.0, np.float32)
-                best = c.argmax(0)
-                h = np.maximum(c[best, np.arange(len(bias))], 0)
-                d = float(sigmoid(h @ out + base[0]) - y[i]) * weight[i] / len(batch)
-                d_out += d * h
-                d_base += d
-                back = d * out * (h > 0)
-                d_bias += back
-                if len(k) == 2:
-                    continue
-                for f, at in enumerate(COLUMNS):
-                    part = slice(f * FILTERS, (f + 1) * FILTERS)
-                    for j, col in enumerate(at):
-                        p = best[part] + j
-                        d_filters[:, col : col + FILTERS] += x[p].T * back[part]
-                        g = back[part][:, None] * filters[:, col : col + FILTERS].T
-                        touched.append(k[p].ravel())
-                        deltas.append(np.repeat(g, k.shape[1], 0))
+                h, slopes = backward(table[k].sum(1), filters, bias, out, float(base[0]), float(y[i]), weight[i] / len(batch))
+                d_out += slopes["out"]
+                d_base += slopes["base"]
+                d_bias += slopes["bias"]
+                d_filters += slopes["filters"]
+                for p, g in slopes["words"]:
+                    touched.append(k[p].ravel())
+                    deltas.append(np.repeat(g, k.shape[1], 0))
             move(filters, g_filters, d_filters + 1e-4 * filters, 0.05)
             move(bias, g_bias, d_bias, 0.05)
             move(out, g_out, d_out + 1e-4 * out, 0.05)
