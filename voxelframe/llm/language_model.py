@@ -41,7 +41,7 @@ MOD, HELD_OUT = 10, 0
 VOCAB, CLASSES, RARE, KNOWN = 2000, 40, 24, 100_000
 HIDDEN, DIM, WINDOW, LANES, TRAIN_LANES = 16, 16, 32, 512, 256
 #: Passes of fitting; words of a shard; words that are laid out in lanes at once (more, and long documents leave fewer lanes idle).
-ROUNDS, SHARD_TOKENS, FIT_AT_ONCE, SCORE_AT_ONCE = 2, 2_000_000, 2_500_000, 1_200_000
+ROUNDS, SHARD_TOKENS, FIT_AT_ONCE, SCORE_AT_ONCE = 2, 2_000_000, 2_500_000, 4_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 EACH = VOCAB // CLASSES
 
