@@ -360,7 +360,8 @@ def classes(table: Numbered) -> DataFrame:
     named = groups.join(labels, "id", "left").select("same", "n", F.coalesce("label", "id").alias("component"))
     total = groups.agg(F.sum("n")).first()[0] or 0
     out = join_hot(rows.drop("sig"), named, ["same"], "n", total)
-    return out.select(PART, AT, "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select(PART, AT, "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
