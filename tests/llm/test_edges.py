@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from zlib import crc32
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from voxelframe.llm import decontaminate, exact_dedup, html_extract, language_model, line_dedup, mixing, near_dedup, quality, toxicity, training_order
 
+from .test_results import LOWER, WORD, brute_components, brute_contamination
+
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Names that operators use inside, to clash with.
 EXTRA = {"size": 1, "score": 2.0, "label": "x", "id": 3, "row": 4, "h": 5, "n": 6, "u": 7, "z": 8, "cell": 9, "words": 10, "_x": 11, "y": 12, "a": 13, "b": 14, "kept": True, "target": 1.0, "copies": 2}
@@ -28,11 +36,14 @@ def rows() -> list[tuple]:
     return out
 
 
+ITEMS = [(1, prose(3, 20)), (2, ""), (3, None), (None, prose(7, 14)), (4, "x")]
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     docs = spark.createDataFrame(rows(), SCHEMA)
     labels = spark.createDataFrame([(i, i % 3 > 0, i % 2) for i in range(40)] + [(None, True, 1), (5, None, None), (1, True, 0)], "doc_id bigint, q boolean, toxic int").select("doc_id", F.col("q").cast("int").alias("quality"), "toxic")
-    items = spark.createDataFrame([(1, prose(3, 20)), (2, ""), (3, None), (None, prose(7, 14)), (4, "x")], "item_id bigint, text string")
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     pages = spark.createDataFrame([(1, "u", "<p>" + "Some text, here. " * 9 + "</p>"), (2, None, None), (None, None, ""), (4, "u", "plain &amp; text"), (5, "u", "<div>" * 5000 + "deep " * 40)], "page_id bigint, url string, html string")
     return docs, labels, items, pages
 
@@ -57,24 +68,110 @@ def test_empty_tables(spark, tables, name):
     assert RUNS[name](docs.limit(0), labels.limit(0), items.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", RUNS)
+def plain(x):
+    """The odd rows' results by brute force: for each operator the columns that are compared, and a row for each row."""
+    r = rows()
+    split = lambda t: [*WORD.findall((t or "").translate(LOWER)), None]
+    if x == "op1":
+        learned = [split(t) for i, t, *_ in r if i is not None and crc32(str(i).encode()) % 10]
+        count = Counter(w for t in learned for w in t)
+        n, v = sum(count.values()), len(count)
+        out = [(i, i is not None and crc32(str(i).encode()) % 10 == 0, len(split(t)), sum(count[w] > 0 for w in split(t)), n, round(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in split(t)), 4)) for i, t, *_ in r]
+        return ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", 4], out
+    if x == "op2":
+        items = [(i or "", t) for i, t in ITEMS]
+        return ["doc_id", "n_words", "n_hit", "n_items", "contaminated"], [(i, *(w := brute_contamination({0: t}, items)[0])[:3], w[4]) for i, t, *_ in r]
+    if x == "op5":
+        groups: dict[str, list] = {}
+        norm = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")
+        for i, t, *_ in r:
+            groups.setdefault(norm(t), []).append(i)
+        least = {t: min((i for i in g if i is not None), default=None) for t, g in groups.items()}
+        return ["doc_id", "keep_id", "group_size", "kept"], [(i, least[norm(t)], len(groups[norm(t)]), i is not None and i == least[norm(t)]) for i, t, *_ in r]
+    if x == "op7":
+        known = brute_components({i: t for i, t, *_ in r if i is not None})
+        n = {t: w for t, (w, _) in ((t, brute_components({0: t})[0]) for _, t, *_ in r)}
+        return ["doc_id", "n_shingles", "component_id", "kept"], [(i, n[t], known[i][1] if i is not None else None, i is None or i == known[i][1]) for i, t, *_ in r]
+    if x == "op9":
+        return ["doc_id", "text", "n_lines", "n_removed"], [(i, t, 0 if t is None else len(t.split("\n")), 0) for i, t, *_ in r]
+    if x == "op10":
+        return ["doc_id", "source", "size"], [(i, s, len(split(t)) - 1) for i, t, _, s, _ in r]
+    mod, held = {"op4": (4, 2), "op8": (5, 0)}[x]
+    return ["doc_id", "held_out"], [(i, i is not None and crc32(str(i).encode()) % mod == held) for i, *_ in r]
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op4", "op5", "op7", "op8", "op9", "op10"])
 def test_odd_rows(spark, tables, name):
+    """Values, not only rows, for nulls, empty and very long texts, ties and repeats; the same with extra columns."""
+    docs, labels, items, _ = tables
+    columns, want = plain(name)
+    clashing = docs.select("*", *[F.lit(v).alias(k) for k, v in EXTRA.items()])
+    got = [RUNS[name](d, labels, items).collect() for d in (docs, clashing)]
+    values = [Counter(tuple(round(r["base_score"], 4) if not isinstance(c, str) else r[c] for c in columns) for r in x) for x in got]
+    assert values[0] == Counter(want)
+    if name == "op10":  # repeated rows are taken alike; words near the targets, no document above three times its size
+        assert all(0 <= r["copies"] <= 3 for r in got[0])
+        assert len({r["copies"] for r in got[0] if r["doc_id"] == 103}) == 1
+        for source in {r["source"] for r in got[0]}:
+            own = [r for r in got[0] if r["source"] == source]
+            assert abs(sum(r["copies"] * r["size"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own) / 2 + 1
+    if name in ("op1", "op4", "op8"):  # equal texts score alike
+        column = "score"
+        by_text: dict = {}
+        texts = {i: t for i, t, *_ in rows() if i is not None}
+        for r in got[0]:
+            if r["doc_id"] is not None:
+                by_text.setdefault(texts[r["doc_id"]], set()).add(round(r[column], 5))
+        assert all(len(x) == 1 for x in by_text.values())
+        assert all(r[column] < 0 if name == "op1" else 0 <= r[column] <= 1 for r in got[0])
+    if name == "op7":
+        assert values[1] == values[0]
+    elif name != "op9":
+        key = lambda r: tuple((v is None, str(v)) for v in (r["doc_id"], *(round(r[c], 6) if isinstance(r[c], float) else r[c] for c in r.asDict() if c in ("score", "keep_id", "n_hit", "copies"))))
+        assert sorted(map(key, got[0])) == sorted(map(key, got[1]))
+
+
+def test_odd_rows_spans(spark, tables):
+    docs, _, items, _ = tables
+    clean = {i for i, t, *_ in rows() if not brute_contamination({0: t}, [(i or "", t) for i, t in ITEMS])[0][4]}
+    got = RUNS["op2_spans"](docs, None, items)
+    assert got.columns == docs.columns and {r["doc_id"] for r in got.collect()} == clean
+
+
+def test_odd_rows_tokens(spark, tables):
+    """Every row's ids decode to its text, runs of two million characters of a kind too."""
+    import tiktoken
+
+    coder = tiktoken.Encoding("own", pat_str=training_order.PATTERN, mergeable_ranks=training_order.load_vocabulary(training_order.VOCABULARY), special_tokens={})
+    runs = [(200 + k, x * 2_000_000 + y, "en", "s0", 1) for k, (x, y) in enumerate(((" ", "end"), ("a", ""), ("7", " 8"), ("=", "=x"), ("\n", "")))]
+    every = rows() + runs
+    got = training_order.materialise(tables[0].unionByName(spark.createDataFrame(runs, SCHEMA)), length=512).collect()
+    end, texts, open_, part = max(training_order.load_vocabulary(training_order.VOCABULARY).values()) + 1, [], [], []
+    for r in sorted(got, key=lambda r: r["index"]):
+        ids = np.frombuffer(bytes(r["tokens"]), "<u2")[: r["n_tokens"]].tolist()
+        for i, a, b in zip(r["doc_ids"], r["starts"], [*r["starts"][1:], len(ids)], strict=True):
+            open_ += ids[a:b]
+            if open_[-1] == end:
+                texts.append((i, coder.decode(open_[:-1])))
+                open_ = []
+    assert not open_ and Counter(texts) == Counter((i, t or "") for i, t, *_ in every)
+    whole = prose(3, 9_000)
+    assert list(training_order.pieces(whole)) == [whole]  # no run, no cut
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_text_doc_ids(spark, tables, name):
+    """Ids of another type; where a number is called for, one that is none counts as null."""
     docs, labels, items, _ = tables
-    got = RUNS[name](docs, labels, items)
-    if name == "op6":
-        assert {i for r in got.select("doc_ids").collect() for i in r[0]} == {r[0] for r in rows()}
-    elif name == "op2_spans":
-        assert got.columns == docs.columns
-    else:
-        assert sorted((r[0] is None, r[0]) for r in got.select("doc_id").collect()) == sorted((r[0] is None, r[0]) for r in rows())
+    as_text = lambda d: d.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert RUNS[name](as_text(docs.where("doc_id < 30")), as_text(labels), items).count() >= 1
 
 
 @pytest.mark.parametrize("name", RUNS)
-def test_extra_columns_and_no_labels(spark, tables, name):
+def test_no_labels(spark, tables, name):
     docs, labels, items, _ = tables
-    plain = docs.where("doc_id < 12 or doc_id is null")
-    more = plain.select("*", *[F.lit(v).alias(k) for k, v in EXTRA.items()])
-    assert RUNS[name](more, labels.limit(0), items).count() >= (1 if name == "op6" else plain.count() - 3)
+    few = docs.where("doc_id < 12 or doc_id is null")
+    assert RUNS[name](few, labels.limit(0), items).count() >= (1 if name == "op6" else few.count() - 3)
 
 
 @pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
@@ -90,8 +187,11 @@ def test_stages(spark, tables, tmp_path, stage):
 
 
 def test_pages(spark, tables):
-    got = {r["page_id"]: r for r in html_extract.extract(tables[3]).collect()}
-    assert got[2]["text"] == "" and got[2]["n_chars"] == 0
-    assert got[4]["text"] == "plain & text"
-    assert got[5]["text"].startswith("deep deep")
+    pages = tables[3].unionByName(tables[3].where("page_id = 4")).withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(None).cast("int"))
+    got = html_extract.extract(pages).collect()
+    by = {r["page_id"]: r for r in got}
+    assert len(got) == 6 and sum(r["page_id"] == 4 for r in got) == 2
+    assert by[1]["text"] == ("Some text, here. " * 9).strip() and by[2]["text"] == "" and by[2]["n_chars"] == 0 and by[None]["text"] == ""
+    assert {(r["text"], r["n_chars"]) for r in got if r["page_id"] == 4} == {("plain & text", 12)}
+    assert by[5]["text"] == ("deep " * 40).strip()
     assert html_extract.extract(tables[3].limit(0)).count() == 0

@@ -94,19 +94,19 @@ def _copies(docs: DataFrame, places: list[str], cap: float, seed: int, odds: str
     second = cut(second, "part", "left2").select("source", F.col("part").alias("cut_part"), (F.col("left2") - F.col("before")).alias("left3"))
     near = edge.alias("e").join(second.alias("s"), F.expr("e.source <=> s.source AND e.part = s.cut_part")).groupBy("e.source", "z", "doc_id").agg(F.sum("size").alias("size"), F.first("left3").alias("left3"))
     listed = near.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("z", "doc_id", "size"))).alias("l"), F.first("left3").alias("left3"))
-    start = F.struct(F.col("left3").alias("left"), F.array().cast("array<struct<z:double,doc_id:bigint>>").alias("ids"))
+    start = F.struct(F.col("left3").alias("left"), F.array().cast(f"array<struct<z:double,doc_id:{base.schema['doc_id'].dataType.simpleString()}>>").alias("ids"))
 
     def step(acc: Column, x: Column) -> Column:
         fits = (x["size"] > 0) & (x["size"] <= acc["left"])
         return F.struct(
             F.when(fits, acc["left"] - x["size"]).otherwise(acc["left"]).alias("left"),
-            F.when(fits, F.concat(acc["ids"], F.array(F.struct(x["z"].alias("z"), x["doc_id"].cast("bigint").alias("doc_id"))))).otherwise(acc["ids"]).alias("ids"),
+            F.when(fits, F.concat(acc["ids"], F.array(F.struct(x["z"].alias("z"), x["doc_id"].alias("doc_id"))))).otherwise(acc["ids"]).alias("ids"),
         )
 
     def last(left: Column, ids: Column, x: Column) -> Column:
         """The smallest document that was left, if with it the words come nearer."""
         rest = F.filter(x, lambda d: (d["size"] > 0) & ~F.exists(ids, lambda t: (t["z"] == d["z"]) & t["doc_id"].eqNullSafe(d["doc_id"])))
-        least = F.array_min(F.transform(rest, lambda d: F.struct(d["size"].alias("size"), d["z"].alias("z"), d["doc_id"].cast("bigint").alias("doc_id"))))
+        least = F.array_min(F.transform(rest, lambda d: F.struct(d["size"].alias("size"), d["z"].alias("z"), d["doc_id"].alias("doc_id"))))
         return F.when(least["size"] < 2 * left, F.concat(ids, F.array(F.struct(least["z"].alias("z"), least["doc_id"].alias("doc_id"))))).otherwise(ids)
 
     gone = listed.select("source", "l", F.aggregate("l", start, step).alias("g"))
