@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as Parquet and read
 again as the next stage's docs. All but the last keep the columns of ``documents``.
+
+Defined results of every stage: an empty table gives an empty one; each row is judged by its own text, a null
+text as the empty one; rows that repeat are judged each, ties go by doc_id; columns besides doc_id, text and source,
+whatever their names, are carried along and never read.
 """
 
 from __future__ import annotations
@@ -13,27 +17,39 @@ from voxelframe.llm.common import save
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is under the cut go. Learned on this stage's own documents."""
+    """Documents whose quality score is under the cut go. Learned on this stage's own documents.
+
+    Without positive labels every score is 0.5, under the cut; null doc_ids are judged and never learned from.
+    """
     return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document of the least doc_id stays."""
+    """Of each group of near duplicates, the document of the least doc_id stays, with all rows that have this doc_id.
+
+    Texts without words stay, as do rows with a null doc_id.
+    """
     return near_dedup.keep(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark passages cover a twentieth or more go; others stay as they are."""
+    """Documents of which benchmark passages cover a twentieth or more go; others stay as they are.
+
+    Texts without words stay; an empty benchmark takes nothing.
+    """
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay, are repeated or go, so that sources meet their target weights."""
+    """Documents stay, are repeated or go, so that sources meet their target weights.
+
+    A null source is a source of its own; texts without words are taken as whole copies only.
+    """
     return mixing.mix(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fixed-stride token records in training order, written as shards."""
+    """Fixed-stride token records in training order, written as shards. Null and empty texts are one end mark."""
     return training_order.written(docs)
 
 
