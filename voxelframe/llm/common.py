@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,13 +41,40 @@ def work_dir(spark: SparkSession) -> str:
 _registered: set[str] = set()
 
 
+#: Lists that note the working tables made while they are open.
+_notes: list[list[str]] = []
+
+
 def _path(spark: SparkSession, name: str) -> str:
     """A new path in the application's folder, which goes when the driver exits."""
     top = work_dir(spark)
     if top not in _registered:
         _registered.add(top)
         atexit.register(_remove, spark, top)
-    return f"{top}/{name}-{uuid.uuid4().hex}"
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
+    for made in _notes:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths of the working tables that are made within."""
+    made: list[str] = []
+    _notes.append(made)
+    try:
+        yield made
+    finally:
+        _notes.remove(made)
+
+
+def discard(spark: SparkSession, paths: list[str], *still: DataFrame) -> None:
+    """Delete working tables that nothing reads any more; those that ``still`` read stay."""
+    read = {f.rsplit("/", 1)[0].split(":", 1)[-1].replace("//", "/") for df in still for f in df.inputFiles()}
+    for path in paths:
+        plain = path.split(":", 1)[-1].replace("//", "/").replace("//", "/")
+        if not any(x.endswith(plain) or plain.endswith(x) for x in read):
+            _remove(spark, path)
 
 
 def save(df: DataFrame, name: str) -> DataFrame:

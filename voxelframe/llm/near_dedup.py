@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import AT, PART, Numbered, join_hot, release, save
+from .common import AT, PART, Numbered, discard, join_hot, noted, release, save
 from .language_model import LOWER
 
 SHINGLE, PERCENT = 5, 85
@@ -333,6 +333,26 @@ def settle(calls: DataFrame, signatures: DataFrame, known: DataFrame, groups: Da
     return save(met.join(every, "id").groupBy(*keys).applyInArrow(links, "a bigint, b bigint").distinct(), "more_links")
 
 
+def _labels(one: DataFrame, table: Numbered) -> DataFrame:
+    """id, label of all representatives that are linked with others; ``one`` has id, sig, n_shingles and places."""
+    trees = one.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.substring(F.col("sig"), k * KEY + 1, F.lit(KEY)))).alias("tree", "key"))
+    near = neighbours(trees)
+    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    signatures = one.select("id", "sig")
+    candidates = save(matched(pairs, signatures, "sig", possible), "possible")
+    known = full_sets(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), one, table)
+    labels = components(save(matched(candidates, known, "s", alike), "links"))
+    calls = mixed_regions(near, labels, one.select("id", "n_shingles"))
+    if calls is None:
+        return labels
+    more = settle(calls, signatures, known, one, table)
+    if more.isEmpty():
+        return labels
+    joined = components(more).select(F.col("id").alias("label"), F.col("label").alias("least"))
+    alone = more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti")
+    return labels.unionByName(alone.select("id", F.col("id").alias("label"))).join(joined, "label", "left").select("id", F.coalesce("least", "label").alias("label"))
+
+
 def classes(table: Numbered) -> DataFrame:
     """Place, doc_id, n_shingles, component_id, kept of every row of a table with doc_id and text."""
     rows = sketches(table)
@@ -342,21 +362,9 @@ def classes(table: Numbered) -> DataFrame:
     # of a doc_id's several texts one stands for the document among candidates; all get its component
     groups = save(groups.withColumn("stands", F.row_number().over(Window.partitionBy("id").orderBy("same")) == 1), "groups")
     one = groups.where("stands").drop("same", "stands", "n")
-    trees = one.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.substring(F.col("sig"), k * KEY + 1, F.lit(KEY)))).alias("tree", "key"))
-    near = neighbours(trees)
-    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    signatures = one.select("id", "sig")
-    candidates = save(matched(pairs, signatures, "sig", possible), "possible")
-    known = full_sets(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), one, table)
-    labels = components(save(matched(candidates, known, "s", alike), "links"))
-    calls = mixed_regions(near, labels, one.select("id", "n_shingles"))
-    if calls is not None:
-        more = settle(calls, signatures, known, one, table)
-        if not more.isEmpty():
-            joined = components(more).select(F.col("id").alias("label"), F.col("label").alias("least"))
-            ids = labels.unionByName(more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").select("id", F.col("id").alias("label")))
-            labels = ids.join(joined, "label", "left").select("id", F.coalesce("least", "label").alias("label"))
-    release(known, candidates)
+    with noted() as made:
+        labels = save(_labels(one, table), "joined")
+    discard(table.rows.sparkSession, made, labels)
     named = groups.join(labels, "id", "left").select("same", "n", F.coalesce("label", "id").alias("component"))
     total = groups.agg(F.sum("n")).first()[0] or 0
     out = join_hot(rows.drop("sig"), named, ["same"], "n", total)
