@@ -10,12 +10,34 @@ whatever their names, are carried along and never read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from voxelframe.llm import decontaminate, mixing, near_dedup, quality, training_order
-from voxelframe.llm.common import save
+from voxelframe.llm.common import discard, noted, save
+
+
+#: Working tables of the stages before, by application.
+_working: dict[str, list[str]] = {}
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes the working tables of the one before, whose result is written when this one begins."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        discard(spark, _working.pop(app, []), docs)
+        with noted() as made:
+            out = f(spark, docs, sf_dir)
+        _working[app] = made
+        return out
+
+    run.__name__, run.__doc__ = f.__name__, f.__doc__
+    return run
 
 
+@_stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is under the cut go. Learned on this stage's own documents.
 
@@ -24,6 +46,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document of the least doc_id stays, with all rows that have this doc_id.
 
@@ -32,6 +55,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return near_dedup.keep(docs)
 
 
+@_stage
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages cover a twentieth or more go; others stay as they are.
 
@@ -40,6 +64,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay, are repeated or go, so that sources meet their target weights.
 
@@ -48,6 +73,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return mixing.mix(docs)
 
 
+@_stage
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fixed-stride token records in training order, written as shards. Null and empty texts are one end mark."""
     return training_order.written(docs)
