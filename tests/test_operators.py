@@ -254,6 +254,84 @@ def test_svm_and_mixture(spark):
     assert mix.where("component = label + 1").count() >= 115
 
 
+def plain_mixture(x, k, rounds, start):
+    """Expectation maximisation on arrays."""
+    n, d = x.shape
+    whole = np.cov(x.T, bias=True).reshape(d, d)
+    ridge = learn.RIDGE * np.trace(whole) * (1 + learn.RIDGE) / d * np.eye(d)
+    weights, means, covs = (start[name].copy() for name in ("weights", "means", "covs"))
+    for _ in range(rounds):
+        dens = np.stack([w * np.exp(-0.5 * np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m)) / np.sqrt(np.linalg.det(2 * np.pi * c)) for w, m, c in zip(weights, means, covs, strict=True)], 1)
+        r = dens / dens.sum(1, keepdims=True)
+        weights = r.sum(0) / n
+        means = (r.T @ x) / r.sum(0)[:, None]
+        covs = np.stack([((x - means[c]).T * r[:, c]) @ (x - means[c]) / r[:, c].sum() + ridge for c in range(k)])
+    return weights, means, covs
+
+
+def test_mixture_against_arrays(spark):
+    r = np.random.default_rng(2)
+    x = np.concatenate([r.normal((0, 0), 1, (150, 2)), r.normal((3, 1), (0.5, 2), (80, 2)), r.normal((7, -2), 1, (60, 2))])
+    frame = spark.createDataFrame([([float(v) for v in p],) for p in x], "f array<double>")
+    start = {"weights": np.full(3, 1 / 3), "means": np.array([[-1.0, 0], [2, 0], [5, 1]]), "covs": np.stack([np.eye(2) * 2] * 3)}
+    got = learn.fit_mixture(frame, "f", 3, 2, rounds=8, tolerance=0, start=start)
+    want = plain_mixture(x, 3, 8, start)
+    order = np.lexsort(want[1].T[::-1])
+    for a, b in zip((got["weights"], got["means"], got["covs"]), want, strict=True):
+        assert a == pytest.approx(b[order], rel=1e-6, abs=1e-9)
+
+
+def test_mixture_of_odd_rows(spark):
+    """Equal rows, fewer rows than components, a constant feature, nulls, no rows: never a failure, always a distribution."""
+    kinds = "f array<double>"
+    for rows in ([[1.0, 2.0]] * 9, [[1.0, 5.0], [2.0, 5.0]], [[0.0, 0.0]] * 50 + [[9.0, 9.0]], [[float(k), 3.0] for k in range(40)]):
+        got = learn.mixture(spark.createDataFrame([(v,) for v in rows] + [(None,)], kinds), "f", 4).collect()
+        assert all(1 <= r["component"] <= 4 and 0.2 <= r["probability"] <= 1 + 1e-9 for r in got if r["f"]) and len(got) == len(rows) + 1
+        assert all(r["component"] is None for r in got if r["f"] is None)
+    assert learn.mixture(spark.createDataFrame([], kinds), "f", 2).count() == 0
+
+
+@pytest.mark.parametrize("p", [0.0, 0.01, 2.0, 50.0, 73.3, 99.99, 100.0])
+def test_percentile_of_many_values(spark, p):
+    r = np.random.default_rng(9)
+    groups = {"even": r.random(20_000), "heavy": r.pareto(0.3, 15_000), "ties": r.integers(0, 3, 9_000).astype(float), "one": np.array([4.0])}
+    frame = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [(None, 2.0), (None, 3.0)], "g string, v double").repartition(7)
+    got = {r["g"]: r["percentile"] for r in stats.rank_percentile(frame, ["g"], "v", p).collect()}
+    for g, x in (groups | {None: np.array([2.0, 3.0])}).items():
+        s, pos = np.sort(x), min(max(len(x) * p / 100 + 0.5, 1), len(x))
+        lo, hi = s[int(np.floor(pos)) - 1], s[int(np.ceil(pos)) - 1]
+        assert got[g] == pytest.approx(lo + (pos - np.floor(pos)) * (hi - lo), rel=1e-12)
+
+
+def test_median_mad_against_arrays(spark):
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(0, 50, 5001))
+    got = stats.median_mad(spark.createDataFrame([("a", float(v)) for v in x], "g string, v double"), ["g"], "v").first()
+    values, counts = np.unique(x, return_counts=True)
+    assert (got["median"], got["mode"], got["mad"]) == (np.median(x), values[counts.argmax()], np.median(np.abs(x - np.median(x))))
+
+
+def test_chunked_kernels_equal_whole_ones(spark):
+    r = np.random.default_rng(6)
+    volume = np.where(r.random((41, 23, 9)) < 0.4, r.random((41, 23, 9)) * 100, 0)
+    at = np.argwhere(volume > 0)
+    frame = spark.createDataFrame([(1, int(y) + 3, int(x) - 4, int(z), float(volume[y, x, z])) for y, x, z in at], "g int, y int, x int, z int, value double")
+    low = at.min(0)
+    whole = volume[tuple(slice(a, b + 1) for a, b in zip(low, at.max(0), strict=True))]
+    for kernel, halo in ((lambda v, top: arrays.gaussian(v, (1.0, 1.0, 0.0)), (3, 3, 0)), (lambda v, top: arrays.without_background(v, 2), 7), (lambda v, top: arrays.blob_seeds(v, (1.0, 1.5), 0.002, top).astype(float), 7)):
+        want = kernel(whole, whole.max())
+        got = {(q["y"] - 3, q["x"] + 4, q["z"]): q["value"] for q in arrays.per_chunk(frame, ["g"], kernel, (16, 10, 8), halo).collect()}
+        assert set(got) == {tuple(int(v) for v in p + low) for p in np.argwhere(want)}
+        assert all(v == pytest.approx(want[tuple(np.array(p) - low)]) for p, v in got.items())
+    for corners in (True, False):
+        label = arrays.connected(whole > 60, corners)
+        got = arrays.components(frame.where("value > 60"), ["g"], corners, size=(9, 8, 4)).collect()
+        parts: dict[int, set] = {}
+        for q in got:
+            parts.setdefault(q["label"], set()).add(int(label[q["y"] - 3 - low[0], q["x"] + 4 - low[1], q["z"] - low[2]]))
+        assert len(parts) == label.max() and all(len(x) == 1 for x in parts.values()) and len(got) == (whole > 60).sum()
+
+
 def test_catalog(spark):
     files = spark.createDataFrame([("in/C1/a[03 x 01]_Z0012.tif",), ("in/C2/a[03 x 02]_Z0013.TIF",), ("in/other/a[01 x 01]_Z0001.tif",), ("in/C1/readme.txt",)], "file string")
     got = sorted(tuple(r) for r in catalog.parse_raw(files, "s", {"m1": "/c1/", "m2": "/c2/"}).select("markers", "channel_num", "y", "x", "z").collect())

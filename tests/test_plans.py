@@ -58,14 +58,14 @@ def test_touching_removal_of_all_points(spark):
     for y, x, z in at:
         ball = [q for b in range(-2, 3) for a in range(-2, 3) for c in range(-2, 3) if a * a + b * b + c * c <= 4 and (q := (y + a, x + b, z + c)) in found]
         gone |= set(ball) - {min(ball)}
-    got = {tuple(r) for r in QUERIES["touching_removal_all"](spark, SF).collect()}
+    got = {tuple(r) for r in QUERIES["touching_removal"](spark, SF).collect()}
     assert gone and got == found - gone
 
 
 def test_nearest_neighbour_of_all_points(spark):
     asks, others = ({p[1:] for p in cells_of(spark, "class", "y", "x", "z") if p[0] == c} for c in (1, 2))
     number = lambda p: p[0] + (p[1] - 1) * 50 + (p[2] - 1) * 550
-    got = {r["id"]: (r["other"], r["distance"]) for r in QUERIES["nearest_neighbour_all"](spark, SF).collect()}
+    got = {r["id"]: (r["other"], r["distance"]) for r in QUERIES["nearest_neighbour"](spark, SF).collect()}
     assert set(got) == {number(p) for p in asks}
     for p in asks:
         d2, other = min((apart(p, q), number(q)) for q in others)
@@ -80,7 +80,7 @@ def test_nearest_any_reaches_far_points(spark):
 
 
 def test_patches_of_all_points(spark):
-    asked = {p for p in cells_of(spark, "class", "y", "x", "z") if p[0] == 1 and 3 <= p[1] <= 48 and 3 <= p[2] <= 9}
+    asked = {p for p in cells_of(spark, "class", "y", "x", "z") if 3 <= p[1] <= 48 and 3 <= p[2] <= 9}
     assert QUERIES["patch_features"](spark, SF).count() == len(asked)
 
 
@@ -91,12 +91,27 @@ def test_asof_nearest_of_all_slices(spark):
     for tile, z, value in asked:
         if value is not None:
             known.setdefault(tile, []).append((z, value))
-    got = {(r["tile"], r["z"]): r["filled"] for r in QUERIES["asof_nearest_all"](spark, sf).collect()}
+    got = {(r["tile"], r["z"]): r["filled"] for r in QUERIES["asof_nearest"](spark, sf).collect()}
     assert max(z for _, z in got) > 400 and len(got) == len(asked)
     for tile, z, _ in asked:
         assert got[tile, z] == min(known[tile], key=lambda k: (abs(k[0] - z), k[0]))[1]
 
 
+def test_steady_translation(spark):
+    from statistics import median
+
+    rows = [tuple(r) for r in views.series(spark, SF).select("tile", "z", "value").collect()]
+    want = {}
+    for tile in {r[0] for r in rows}:
+        accepted = []
+        for _, z, v in sorted((r for r in rows if r[0] == tile), key=lambda r: r[1]):
+            if v is not None and (not accepted or abs(float(v) - median(accepted)) <= 60):
+                accepted.append(float(v))
+            want[tile, z] = accepted[-1] if accepted else None
+    got = {(r["tile"], r["z"]): plain(r["steady"]) for r in QUERIES["steady_translation"](spark, SF).collect()}
+    assert got == want
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -10,39 +10,70 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _sides(by: list[str], order: str) -> tuple:
-    w = Window.partitionBy(*by).orderBy(order)
-    return w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-
-
 def asof_nearest(series: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """Fill missing values from the nearest slice that has one; the earlier on ties.
 
-    Two running passes in the engine, one from each side. A partition is the slices of one tile.
+    Two running passes, one in each direction: both frames only grow. A partition is the slices of one tile.
     """
-    back, ahead = _sides(by, order)
+    tile = Window.partitionBy(*by)
+    so_far = lambda c: tile.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("z"), F.col(value).alias("v")))
-    out = series.withColumn("_a", F.last(known, True).over(back)).withColumn("_b", F.first(known, True).over(ahead))
+    out = series.withColumn("_a", F.last(known, True).over(so_far(F.col(order)))).withColumn("_b", F.last(known, True).over(so_far(F.col(order).desc())))
     earlier = F.col("_b").isNull() | (F.col(order) - F.col("_a.z") <= F.col("_b.z") - F.col(order))
     return out.withColumn("filled", F.when(F.col("_a").isNotNull() & earlier, F.col("_a.v")).otherwise(F.col("_b.v"))).drop("_a", "_b")
 
 
 def interpolate(series: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
-    """Linear interpolation of missing values; beyond the ends, on along the line of the two nearest."""
-    back, ahead = _sides(by, order)
+    """Linear interpolation of missing values; beyond the ends, on along the line of the two nearest.
+
+    In each direction one running pass finds the nearest known slice and the known one behind it; all four frames only grow.
+    """
     known = F.col(value).isNotNull()
     knot = F.when(known, F.struct(F.col(order).cast("double").alias("z"), F.col(value).alias("v")))
-    w = Window.partitionBy(*by).orderBy(order)
-    knots = series.where(known).select(*by, F.col(order), F.struct(F.lag(F.col(order)).over(w).cast("double").alias("z"), F.lag(value).over(w).alias("v")).alias("_before"), F.struct(F.lead(F.col(order)).over(w).cast("double").alias("z"), F.lead(value).over(w).alias("v")).alias("_after"))
-    s = series.join(knots, [*by, order], "left")
-    s = s.withColumn("_a", F.last(knot, True).over(back)).withColumn("_b", F.first(knot, True).over(ahead)).withColumn("_a2", F.last("_before", True).over(back)).withColumn("_b2", F.first("_after", True).over(ahead))
+    s = series
+    for near, behind, c in (("_a", "_a2", F.col(order)), ("_b", "_b2", F.col(order).desc())):
+        w = Window.partitionBy(*by).orderBy(c)
+        s = s.withColumn("_past", F.last(knot, True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        both = F.last(F.when(known, F.struct(knot.alias("near"), F.col("_past").alias("behind"))), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        s = s.withColumn("_both", both).withColumn(near, F.col("_both.near")).withColumn(behind, F.col("_both.behind")).drop("_past", "_both")
 
     def line(p: str, q: str) -> Column:
         slope = F.try_divide(F.col(f"{q}.v") - F.col(f"{p}.v"), F.col(f"{q}.z") - F.col(f"{p}.z"))
         return F.coalesce(F.col(f"{p}.v") + slope * (F.col(order) - F.col(f"{p}.z")), F.col(f"{p}.v"))
 
     out = F.when(known, F.col(value)).when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), line("_a", "_b")).when(F.col("_a").isNotNull(), line("_a", "_a2")).otherwise(line("_b", "_b2"))
-    return s.withColumn("filled", out).drop("_before", "_after", "_a", "_b", "_a2", "_b2")
+    return s.withColumn("filled", out).drop("_a", "_b", "_a2", "_b2")
+
+
+def fill_outliers(series: DataFrame, by: list[str], order: str, value: str, window: int = 10, limit: float = 3.0) -> DataFrame:
+    """Adds filled: moving outliers (and missing values) replaced by the line through their neighbours that are none."""
+    marked = moving_outliers(series, by, order, value, window, limit)
+    kept = marked.withColumn("_kept", F.when(~F.col("outlier"), F.col(value)))
+    return interpolate(kept, by, order, "_kept").drop("_kept")
+
+
+def steady(series: DataFrame, by: list[str], order: str, value: str, limit: float = 3.0) -> DataFrame:
+    """Adds steady: a value further than ``limit`` from the median of all accepted earlier ones gives way to the last accepted one.
+
+    What is accepted feeds back into the median, which no window expression can say; a group is one
+    tile. The earlier values are kept sorted, so a slice costs a search.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in series.schema.fields}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        from bisect import insort
+
+        pdf = pdf.sort_values(order)
+        sorted_, last, out = [], None, []
+        for v in pdf[value].to_numpy(float):
+            n = len(sorted_)
+            if not np.isnan(v) and (not n or abs(v - (sorted_[(n - 1) // 2] + sorted_[n // 2]) / 2) <= limit):
+                insort(sorted_, v)
+                last = v
+            out.append(np.nan if last is None else last)
+        return pdf.assign(steady=out)
+
+    return series.groupBy(*by).applyInPandas(run, ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", steady double")
 
 
 #: Scale that makes the median absolute deviation a standard deviation for normal values.
@@ -68,7 +99,7 @@ def displacement_outliers(shifts: DataFrame, by: list[str], value: str, limit: f
     """Shifts further than ``limit`` from the smallest mode of their group take the mode; missing ones too."""
     modes = shifts.groupBy(*by).agg(F.mode(value, True).alias("_mode"))
     far = F.col(value).isNull() | (F.abs(F.col(value) - F.col("_mode")) > limit)
-    return shifts.join(F.broadcast(modes), by).withColumn("adjusted", F.when(far, F.col("_mode")).otherwise(F.col(value))).drop("_mode")
+    return shifts.join(modes, by).withColumn("adjusted", F.when(far, F.col("_mode")).otherwise(F.col(value))).drop("_mode")
 
 
 def best_position(scores: DataFrame, by: list[str], slice_: str, position: str, score: str) -> DataFrame:

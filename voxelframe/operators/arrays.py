@@ -1,8 +1,8 @@
 """Dense kernels in numpy for one tile, slice or chunk at a time, and their grouped Spark forms.
 
 Kernels take and give plain arrays; the grouped forms read long tables (key, y, x, z, value) and
-run one kernel per key, with chunk halos made by ``align.chunks``. A key is one image chunk of
-bounded size; the number of keys is what grows.
+run one kernel per chunk of bounded size: ``per_chunk`` cuts a volume of any size into chunks with halos as wide
+as the kernel reaches and keeps the cores, so the result is that of the whole volume; what grows is the number of chunks.
 """
 
 from __future__ import annotations
@@ -12,7 +12,10 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .working import least_labels
 
 
 def dense(pdf: pd.DataFrame, value: str = "value") -> tuple[np.ndarray, tuple[int, int, int]]:
@@ -142,9 +145,12 @@ def hessian_eigenvalues(volume: np.ndarray, sigma: float) -> np.ndarray:
     return np.linalg.eigvalsh((h + np.swapaxes(h, -1, -2)) / 2)
 
 
-def blob_seeds(volume: np.ndarray, sigmas: tuple[float, ...], level: float = 0.05) -> np.ndarray:
-    """Voxels that look like blobs at every scale: all eigenvalues under ``-level * k`` for the k-th scale."""
-    top = volume.max()
+def blob_seeds(volume: np.ndarray, sigmas: tuple[float, ...], level: float = 0.05, top: float | None = None) -> np.ndarray:
+    """Voxels that look like blobs at every scale: all eigenvalues under ``-level * k`` for the k-th scale.
+
+    ``top`` is the greatest value of the whole volume where ``volume`` is a part of it.
+    """
+    top = volume.max() if top is None else top
     unit = volume / top if top > 0 else volume
     out = np.ones(volume.shape, bool)
     for k, s in enumerate(sigmas, 1):
@@ -212,31 +218,98 @@ def flatfield(images: np.ndarray, rounds: int = 10) -> tuple[np.ndarray, np.ndar
     return flat, dark
 
 
-def per_group(pixels: DataFrame, by: list[str], kernel: Callable[[np.ndarray], np.ndarray], value: str = "value", kind: str = "double") -> DataFrame:
-    """Run a volume-to-volume kernel on each key; voxels that become 0 are left out."""
+#: Voxels of a chunk along y, x and z.
+CHUNK = (256, 256, 64)
+
+
+def _chunked(pixels: DataFrame, by: list[str], value: str, size: tuple[int, int, int], halo: tuple[int, int, int]) -> DataFrame:
+    """by, cy, cx, cz, y, x, z, value, low_*, high_* (of the key's voxels), top: every voxel in its own chunk and in those whose halo it lies in."""
+    span = pixels.groupBy(*by).agg(*[f(c).alias(f"{n}_{c}") for c in "yxz" for n, f in (("low", F.min), ("high", F.max))], F.max(value).alias("top"))
+    j = pixels.select(*by, "y", "x", "z", value).join(span, by)
+
+    def homes(c: str, n: int, h: int) -> Column:
+        at = F.col(c) - F.col(f"low_{c}")
+        last = F.floor((F.col(f"high_{c}") - F.col(f"low_{c}")) / n)
+        return F.sequence(F.greatest(F.floor((at - h) / n), F.lit(0)), F.least(F.floor((at + h) / n), last))
+
+    for c, n, h in zip("yxz", size, halo, strict=True):
+        j = j.withColumn(f"c{c}", F.explode(homes(c, n, h))).withColumn(f"c{c}", F.col(f"c{c}").cast("int"))
+    return j
+
+
+def _box(pdf: pd.DataFrame, value: str, size: tuple[int, int, int], halo: tuple[int, int, int]) -> tuple[np.ndarray, tuple[int, ...], tuple[slice, ...]]:
+    """The chunk with its halo as far as the volume goes, where it begins, and where the core lies in it."""
+    row, begin, core, shape = pdf.iloc[0], [], [], []
+    for c, n, h in zip("yxz", size, halo, strict=True):
+        low, high = int(row[f"low_{c}"]), int(row[f"high_{c}"])
+        first = low + int(row[f"c{c}"]) * n
+        a, b = max(low, first - h), min(high, first + n - 1 + h)
+        begin.append(a)
+        shape.append(b - a + 1)
+        core.append(slice(first - a, min(first + n - 1, high) - a + 1))
+    out = np.zeros(shape)
+    out[tuple((pdf[c].to_numpy() - a) for c, a in zip("yxz", begin, strict=True))] = pdf[value].to_numpy()
+    return out, tuple(begin), tuple(core)
+
+
+def per_chunk(pixels: DataFrame, by: list[str], kernel: Callable[[np.ndarray, float], np.ndarray], size: tuple[int, int, int] = CHUNK, halo: int | tuple[int, int, int] = 0, value: str = "value") -> DataFrame:
+    """Run a volume-to-volume kernel on chunks of each key; voxels that become 0 are left out.
+
+    ``kernel`` gets the chunk with its halo, at least as wide as the kernel reaches, and the greatest value of the key.
+    """
     types = {f.name: f.dataType.simpleString() for f in pixels.schema.fields}
+    reach = (halo,) * 3 if np.isscalar(halo) else halo
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        volume, low = dense(pdf, value)
-        out = kernel(volume)
+        volume, begin, core = _box(pdf, value, size, reach)
+        out = kernel(volume, float(pdf.top.iloc[0]))[core]
         at = np.nonzero(out)
         head = {k: [pdf[k].iloc[0]] * len(at[0]) for k in by}
-        return pd.DataFrame(head | {c: (i + o).astype(np.int32) for c, i, o in zip("yxz", at, low, strict=True)} | {value: out[at].astype(float if kind == "double" else np.int64)})
+        return pd.DataFrame(head | {c: (i + o + s.start).astype(np.int32) for c, i, o, s in zip("yxz", at, begin, core, strict=True)} | {value: out[at].astype(float)})
 
-    return pixels.groupBy(*by).applyInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in by) + f", y int, x int, z int, `{value}` {kind}")
+    return _chunked(pixels, by, value, size, reach).groupBy(*by, "cy", "cx", "cz").applyInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in by) + f", y int, x int, z int, `{value}` double")
 
 
-def components(pixels: DataFrame, by: list[str], corners: bool = True) -> DataFrame:
-    """y, x, z, label of the connected parts of each key's voxels above 0."""
-    return per_group(pixels, by, lambda v: connected(v > 0, corners), "value", "bigint").withColumnRenamed("value", "label")
+def components(pixels: DataFrame, by: list[str], corners: bool = True, size: tuple[int, int, int] = CHUNK) -> DataFrame:
+    """by, y, x, z, label of the connected parts of each key's voxels above 0.
 
+    Chunks that overlap by one voxel are labelled side by side; a voxel of two chunks ties its two labels, and
+    tied labels take the least. A label is the number of the part's first voxel in the key's box, from 1, z running fastest.
+    """
+    types = {f.name: f.dataType.simpleString() for f in pixels.schema.fields}
+    reach = (1, 1, 1)
 
-def seeds(pixels: DataFrame, by: list[str], sigmas: tuple[float, ...], level: float = 0.05) -> DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        volume, begin, core = _box(pdf, "value", size, reach)
+        local = connected(volume > 0, corners)
+        at = np.nonzero(local)
+        row = pdf.iloc[0]
+        n = [int(row[f"high_{c}"]) - int(row[f"low_{c}"]) + 1 for c in "yxz"]
+        place = [i.astype(np.int64) + o for i, o in zip(at, begin, strict=True)]
+        y, x, z = (p - int(row[f"low_{c}"]) for p, c in zip(place, "yxz", strict=True))
+        number = (y * n[1] + x) * n[2] + z + 1
+        names = local[at]
+        first = np.full(int(names.max(initial=0)) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, names, number)
+        own = np.ones(len(names), bool)
+        for i, s in zip(at, core, strict=True):
+            own &= (i >= s.start) & (i < s.stop)
+        return pd.DataFrame({k: [row[k]] * len(names) for k in by} | {c: p.astype(np.int32) for c, p in zip("yxz", place, strict=True)} | {"label": first[names], "own": own})
+
+    found = _chunked(pixels.where("value > 0"), by, "value", size, reach).groupBy(*by, "cy", "cx", "cz").applyInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in by) + ", y int, x int, z int, label bigint, own boolean")
+    ties = found.groupBy(*by, "y", "x", "z").agg(F.min("label").alias("a"), F.collect_set("label").alias("all")).where(F.size("all") > 1)  # a voxel is in eight chunks at most
+    ties = ties.select(*by, "a", F.explode("all").alias("b")).where("a <> b").distinct()
+    least = least_labels(ties, by).select(*by, F.col("id").alias("label"), F.col("label").alias("least"))
+    return found.where("own").join(least, [*by, "label"], "left").select(*by, "y", "x", "z", F.coalesce("least", "label").alias("label"))
+
+
+def seeds(pixels: DataFrame, by: list[str], sigmas: tuple[float, ...], level: float = 0.05, size: tuple[int, int, int] = CHUNK) -> DataFrame:
     """Centroids of blob seeds: by, label, y, x, z, size."""
     from .voxels import centroids
 
-    found = per_group(pixels, by, lambda v: connected(blob_seeds(v, sigmas, level)), "value", "bigint")
-    return centroids(found.withColumnRenamed("value", "label"), [*by, "label"])
+    halo = int(np.ceil(3 * max(sigmas))) + 2  # smoothing, then two differences
+    bright = per_chunk(pixels, by, lambda v, top: blob_seeds(v, sigmas, level, top).astype(float), size, halo)
+    return centroids(components(bright, by, size=size), [*by, "label"])
 
 
 def align_pairs(pixels: DataFrame, by: list[str], reference: str, moving: str, most: float | None = None) -> DataFrame:
@@ -258,6 +331,7 @@ def align_pairs(pixels: DataFrame, by: list[str], reference: str, moving: str, m
 def features_of(patches: DataFrame, by: list[str]) -> DataFrame:
     """Eight measures of each patch given in long form (by, y, x, value; y and x from 1)."""
     types = {f.name: f.dataType.simpleString() for f in patches.schema.fields}
+    # fixed values: the columns' names
     names = ("Max", "Mean", "Std", "Middle", "MoC", "Solidity", "FilledArea", "CenDist")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -51,7 +51,7 @@ def normalise_depth(structure: DataFrame) -> DataFrame:
 
 def bin_to_ancestor(annotations: DataFrame, structure: DataFrame, targets: DataFrame, column: str, keep_rest: bool = False) -> DataFrame:
     """Replace ``column`` by its deepest ancestor among ``targets`` (id); the rest becomes 0, or stays."""
-    wanted = closure(structure).join(F.broadcast(targets.select(F.col("id").alias("ancestor")).distinct()), "ancestor")
+    wanted = closure(structure).join(targets.select(F.col("id").alias("ancestor")).distinct(), "ancestor")
     deep = structure.select(F.col("id").alias("ancestor"), "depth")
     best = wanted.join(deep, "ancestor").groupBy("descendant").agg(F.max_by("ancestor", "depth").alias("bin"))
     rest = F.col(column) if keep_rest else F.lit(0).cast("bigint")

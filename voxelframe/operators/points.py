@@ -7,6 +7,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .working import cut
+
 
 def rescale(c: Column, res_in: float, res_out: float) -> Column:
     """Coordinate at another resolution, rounded half away from zero."""
@@ -117,17 +119,33 @@ def nearest(points: DataFrame, others: DataFrame, cell: float, reach: int = 1) -
 def nearest_any(points: DataFrame, others: DataFrame, cell: float) -> DataFrame:
     """id, other, distance: the closest other point of every point, however far; no rows without other points.
 
-    The grid is widened twofold for the points that have none yet.
+    The grid is widened twofold for the points that have none yet; each widening is kept in the shared checkpoint folder.
     """
-    found = nearest(points, others, cell)
+    found = cut(nearest(points, others, cell))
     if others.isEmpty():
         return found
-    rest = points.join(found, "id", "left_anti")
-    while not rest.isEmpty():
+    while True:
+        rest = points.join(found, "id", "left_anti")
+        if rest.isEmpty():
+            return found
         cell *= 2
-        more = nearest(rest, others, cell).localCheckpoint()  # else each round would hold the plans before it twice
-        found, rest = found.unionByName(more), rest.join(more, "id", "left_anti").localCheckpoint()
-    return found
+        found = cut(found.unionByName(nearest(rest, others, cell)))
+
+
+def lookup(points: DataFrame, volume: DataFrame, res: tuple[float, float, float], volume_res: float, dims: tuple[int, int, int], values: list[str]) -> DataFrame:
+    """Adds ``values`` of the volume's voxel that a point falls into, at the volume's resolution; points outside take the voxel at the edge.
+
+    Coordinates are rounded half away from zero and clamped to 1..dims; voxels that the volume lacks give null.
+    """
+    place = [F.least(F.greatest(F.round(F.col(c) * (r / volume_res)), F.lit(1)), F.lit(n)).cast("int").alias(f"_v{c}") for c, r, n in zip("yxz", res, dims, strict=True)]
+    there = volume.select(*[F.col(c).alias(f"_v{c}") for c in "yxz"], *values)
+    return points.select("*", *place).join(there, ["_vy", "_vx", "_vz"], "left").drop("_vy", "_vx", "_vz")
+
+
+def local_background(pixels: DataFrame, size: int, value: str = "value") -> DataFrame:
+    """y, x, z, background, deviation of a coarse grid: mean and sample deviation of the pixels of each block of ``size`` in y and x."""
+    block = lambda c: (F.floor((F.col(c) - 1) / size) + 1).cast("int")
+    return pixels.groupBy(block("y").alias("y"), block("x").alias("x"), "z").agg(F.avg(value).alias("background"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("deviation"))
 
 
 def voxel_counts(points: DataFrame, res: tuple[float, float, float], grid: float, dims: tuple[int, int, int], by: list[str]) -> DataFrame:

@@ -91,29 +91,48 @@ def normalised(values: DataFrame, by: list[str], value: str) -> DataFrame:
     return values.withColumn("normalised", divide(F.col(value), F.avg(value).over(Window.partitionBy(*by))))
 
 
+#: The sketch that brackets a percentile errs by n / SKETCH ranks, the bracket spans MARGIN such errors on each side; up to FEW values it spans all.
+SKETCH, MARGIN, FEW = 10_000, 3, 30_000
+
+
 def rank_percentile(values: DataFrame, by: list[str], value: str, p: float) -> DataFrame:
     """Percentile where the i-th of n sorted values stands at 100 (i - 0.5) / n, linear between, clamped.
 
-    Values are counted first, so a group's window has its distinct values, not its rows:
-    16-bit pixels make 65,536 at most.
+    A mergeable sketch brackets the percentile; values below the bracket are only counted, so a group's window has the
+    distinct values inside it, some thousandth of the group's rows (or FEW), whatever their distribution.
     """
-    w = Window.partitionBy(*by).orderBy(value)
-    counted = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    run = counted.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-    pos = F.least(F.greatest(F.col("n") * p / 100 + 0.5, F.lit(1.0)), F.col("n").cast("double"))
+    v, share, margin = F.col(value).cast("double"), p / 100, MARGIN / SKETCH
+    known = values.where(F.col(value).isNotNull())
+    ends = F.percentile_approx(v, [max(share - margin, 0.0), min(share + margin, 1.0)], SKETCH)
+    few = F.count("*") <= FEW
+    low = F.min(v) if share <= margin else F.when(few, F.min(v)).otherwise(ends[0])
+    high = F.max(v) if share + margin >= 1 else F.when(few, F.max(v)).otherwise(ends[1])
+    span = known.groupBy(*by).agg(F.count("*").alias("_n"), low.alias("_low"), high.alias("_high"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    joined = known.select(*by, v.alias("_v")).alias("a").join(span.alias("b"), same).where("_v <= _high").select(*[F.col(f"a.{c}").alias(c) for c in by], "_v", "_n", "_low")
+    counted = joined.groupBy(*by, "_n", F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v")).agg(F.count("*").alias("c"))
+    run = counted.withColumn("upto", F.sum("c").over(Window.partitionBy(*by).orderBy(F.col("_v").asc_nulls_first())))
+    pos = F.least(F.greatest(F.col("_n") * p / 100 + 0.5, F.lit(1.0)), F.col("_n").cast("double"))
     lo, hi = F.floor(pos), F.ceil(pos)
     has = lambda r: (F.col("upto") - F.col("c") < r) & (F.col("upto") >= r)
-    v = F.col(value).cast("double")
-    picked = run.select(*by, pos.alias("pos"), F.when(has(lo), v).alias("lo"), F.when(has(hi), v).alias("hi"))
+    picked = run.select(*by, pos.alias("pos"), F.when(has(lo), F.col("_v")).alias("lo"), F.when(has(hi), F.col("_v")).alias("hi"))
     out = picked.groupBy(*by).agg(F.max("pos").alias("pos"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
     return out.select(*by, (F.col("lo") + (F.col("pos") - F.floor("pos")) * (F.col("hi") - F.col("lo"))).alias("percentile"))
 
 
 def median_mad(values: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Median, median absolute deviation (unscaled), smallest mode, mean and sample deviation."""
-    first = values.groupBy(*by).agg(F.median(value).alias("median"), F.mode(value, True).alias("mode"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"))
-    away = values.select(*by, value).join(first.select(*by, "median"), by).groupBy(*by).agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
-    return first.join(away, by)
+    """Median, median absolute deviation (unscaled), smallest mode, mean and sample deviation.
+
+    Medians by bracketed ranks, the mode by counts of values: no task holds a group's values.
+    """
+    known = values.where(F.col(value).isNotNull()).select(*by, value)
+    first = known.groupBy(*by).agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"))
+    modes = known.groupBy(*by, value).agg(F.count("*").alias("_c")).groupBy(*by).agg(F.min(F.struct((-F.col("_c")).alias("c"), F.col(value).alias("v")))["v"].alias("mode"))
+    medians = rank_percentile(known, by, value, 50.0).withColumnRenamed("percentile", "median")
+    away = known.join(medians, by).withColumn("_d", F.abs(F.col(value) - F.col("median")))
+    return first.join(modes, by).join(medians, by).join(rank_percentile(away, by, "_d", 50.0).withColumnRenamed("percentile", "mad"), by).select(*by, "median", "mode", "mean", "sd", "mad")
 
 
 def corr_nonzero(a: Column, b: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def subset(mask: DataFrame, keep: DataFrame) -> DataFrame:
     """Labels outside ``keep`` (id) become 0."""
-    k = F.broadcast(keep.select(F.col("id").alias("_k")).distinct())
+    k = keep.select(F.col("id").alias("_k")).distinct()
     return mask.join(k, mask.structure_index == F.col("_k"), "left").withColumn("structure_index", F.coalesce("_k", F.lit(0).cast("bigint"))).drop("_k")
 
 
@@ -96,4 +96,4 @@ def semi_quantile(volume: DataFrame, value: str) -> DataFrame:
 def rank_labels(mask: DataFrame, label: str) -> DataFrame:
     """Dictionary encoding: labels numbered 1, 2, ... in their order; over the distinct labels, then joined."""
     names = mask.select(label).distinct().withColumn("code", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(label)))
-    return mask.join(F.broadcast(names), label)
+    return mask.join(names, label)

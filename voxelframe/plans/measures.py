@@ -9,7 +9,7 @@ from ..operators import stats, voxels
 from ..sources import catalog
 from . import views
 from .registry import query
-from .slices import tile_catalog
+from .slices import TILES_SQL, tile_catalog
 from .views import SQL
 
 
@@ -88,15 +88,14 @@ def overlap_gain(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("sample_id").agg(F.round(F.avg(F.col("a") / F.col("b")), 6).alias("gain"))
 
 
-@query("SELECT CAST(i AS INTEGER) AS i, CAST(5 + (i * 4) AS INTEGER) AS first_slice FROM range(0, 10) r(i)")
+@query(TILES_SQL + "SELECT sample_id, z FROM (SELECT sample_id, z, row_number() OVER (PARTITION BY sample_id ORDER BY z) AS k FROM (SELECT DISTINCT sample_id, z FROM cat)) WHERE k BETWEEN 16 AND 25")
 def middle_slices(spark: SparkSession, sf: str) -> DataFrame:
-    """A stated run of rows in the middle of a list."""
-    w = Window.orderBy("z")
-    listed = spark.range(0, 80).select((F.col("id") * 4 - 55).cast("int").alias("z")).select("z", F.row_number().over(w).alias("k"))
-    return listed.where(F.col("k").between(16, 25)).select((F.col("k") - 16).alias("i"), F.col("z").alias("first_slice"))
+    """A stated run of slices in the middle of each sample's list."""
+    listed = tile_catalog(spark, sf).select("sample_id", "z").distinct().withColumn("k", F.row_number().over(Window.partitionBy("sample_id").orderBy("z")))
+    return listed.where(F.col("k").between(16, 25)).select("sample_id", "z")
 
 
-@query("SELECT sample_id, bool_or(f = 'C1') AS \"C1\", bool_or(f = 'C2') AS \"C2\", bool_or(f = 'C3') AS \"C3\" FROM (SELECT DISTINCT 'S' || (l_orderkey % 6) AS sample_id, 'C' || (CAST(l_partkey % 2 AS INTEGER) + 1) AS f FROM lineitem WHERE l_quantity <= 12) GROUP BY sample_id")
+@query("SELECT sample_id, bool_or(f = 'C1') AS \"C1\", bool_or(f = 'C2') AS \"C2\", bool_or(f = 'C3') AS \"C3\" FROM (SELECT DISTINCT 'S' || (l_orderkey % 6) AS sample_id, 'C' || (CAST(l_partkey % 2 AS INTEGER) + 1) AS f FROM lineitem) GROUP BY sample_id")
 def field_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """Which fields each sample's results have."""
     fields = tile_catalog(spark, sf).select("sample_id", F.concat(F.lit("C"), F.col("channel_num").cast("string")).alias("field"))

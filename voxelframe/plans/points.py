@@ -59,40 +59,38 @@ def permute_points(spark: SparkSession, sf: str) -> DataFrame:
     return views.cells(spark, sf).select(*[c.cast("int").alias(n) for c, n in zip(out, "abc", strict=True)]).distinct()
 
 
-@query(SQL + """, p AS (SELECT y, x, z, row_number() OVER (ORDER BY y, x, z) AS id FROM (SELECT DISTINCT y, x, z FROM cells WHERE (y * 7 + x * 5 + z * 3) % 11 = 0)),
+@query(SQL + """, p AS (SELECT y, x, z, row_number() OVER (ORDER BY y, x, z) AS id FROM (SELECT DISTINCT y, x, z FROM cells)),
 near AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z) <= 4),
 gone AS (SELECT DISTINCT b FROM (SELECT b, min(b) OVER (PARTITION BY a) AS least FROM near) WHERE b <> least)
 SELECT y, x, z FROM p WHERE id NOT IN (SELECT b FROM gone)""")
 def touching_removal(spark: SparkSession, sf: str) -> DataFrame:
-    p = views.cells(spark, sf).where("(y * 7 + x * 5 + z * 3) % 11 = 0").select("y", "x", "z").distinct()
+    p = views.cells(spark, sf).select("y", "x", "z").distinct()
     return points.touching_removal(p.withColumn("id", points.linear_index(F.col("z"), F.col("x"), F.col("y"), 7, 11)), 2.0).select("y", "x", "z")
 
 
-@query(SQL + """, p AS (SELECT DISTINCT y, x, z, CAST(y + (x - 1) * 50 + (z - 1) * 550 AS BIGINT) AS id FROM cells),
-a AS (SELECT * FROM p WHERE id % 13 = 0), b AS (SELECT * FROM p WHERE id % 17 = 5),
+@query(SQL + """, p AS (SELECT DISTINCT class, y, x, z, CAST(y + (x - 1) * 50 + (z - 1) * 550 AS BIGINT) AS id FROM cells),
+a AS (SELECT * FROM p WHERE class = 1), b AS (SELECT * FROM p WHERE class = 2),
 d AS (SELECT a.id, b.id AS other, (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z) AS d2 FROM a, b)
-SELECT id, arg_min(other, d2::BIGINT * 1000000 + other) AS other, round(sqrt(min(d2)), 6) AS distance FROM d GROUP BY id HAVING min(d2) <= 144""")
+SELECT id, arg_min(other, d2::BIGINT * 1000000 + other) AS other, round(sqrt(min(d2)), 6) AS distance FROM d GROUP BY id""")
 def nearest_neighbour(spark: SparkSession, sf: str) -> DataFrame:
-    i = points.linear_index(F.col("y"), F.col("x"), F.col("z"), 50, 11)
-    p = views.cells(spark, sf).select("y", "x", "z", i.alias("id")).distinct()
-    return points.nearest(p.where("id % 13 = 0"), p.where("id % 17 = 5"), 12.0).select("id", "other", F.round("distance", 6).alias("distance"))
-
-
-@query()
-def touching_removal_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Every point of the table; ``touching_removal`` takes the eleventh that its SQL names."""
-    p = views.cells(spark, sf).select("y", "x", "z").distinct()
-    return points.touching_removal(p.withColumn("id", points.linear_index(F.col("z"), F.col("x"), F.col("y"), 7, 11)), 2.0).select("y", "x", "z")
-
-
-@query()
-def nearest_neighbour_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Every point of class 1 asks for the nearest of class 2, however far; ``nearest_neighbour`` takes the points that its SQL names."""
+    """Every point of class 1 asks for the nearest of class 2, however far."""
     i = points.linear_index(F.col("y"), F.col("x"), F.col("z"), 50, 11)
     p = views.cells(spark, sf).select("class", "y", "x", "z", i.alias("id")).distinct()
     return points.nearest_any(p.where("class = 1"), p.where("class = 2"), 2.0).select("id", "other", F.round("distance", 6).alias("distance"))
 
 
+@query(SQL + """, px AS (SELECT y, x, z, max(intensity_1) AS value FROM cells GROUP BY y, x, z), b AS (SELECT CAST(floor((y - 1) / 5) + 1 AS INTEGER) AS y, CAST(floor((x - 1) / 5) + 1 AS INTEGER) AS x, z, avg(value) AS background, coalesce(stddev_samp(value), 0) AS deviation FROM px GROUP BY ALL),
+p AS (SELECT DISTINCT y, x, z, CAST(least(greatest(round(y * 0.2), 1), 10) AS INTEGER) AS gy, CAST(least(greatest(round(x * 0.2), 1), 3) AS INTEGER) AS gx, CAST(least(greatest(z, 1), 7) AS INTEGER) AS gz FROM cells WHERE class = 1)
+SELECT p.y, p.x, p.z, round(background, 6) AS background, round(deviation, 3) AS deviation FROM p LEFT JOIN b ON b.y = gy AND b.x = gx AND b.z = gz""")
+def background_at_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Background and local deviation of a coarse grid at every point."""
+    c = views.cells(spark, sf)
+    px = c.groupBy("y", "x", "z").agg(F.max("intensity_1").alias("value"))
+    p = c.where("class = 1").select("y", "x", "z").distinct()
+    out = points.lookup(p, points.local_background(px, 5), (1.0, 1.0, 5.0), 5.0, (10, 3, 7), ["background", "deviation"])
+    return out.select("y", "x", "z", F.round("background", 6).alias("background"), F.round("deviation", 3).alias("deviation"))
+
+
 @query(SQL + """SELECT CAST(class AS INTEGER) AS class, vy, vx, vz, count(*) AS n FROM (SELECT class, CAST(round(y * 0.4) AS INTEGER) AS vy, CAST(round(x * 0.4) AS INTEGER) AS vx, CAST(round(z * 0.4) AS INTEGER) AS vz FROM cells) WHERE vy BETWEEN 1 AND 18 AND vx BETWEEN 1 AND 4 AND vz BETWEEN 1 AND 2 GROUP BY ALL""")
 def voxel_counts(spark: SparkSession, sf: str) -> DataFrame:
     return points.voxel_counts(views.cells(spark, sf), (4.0, 4.0, 4.0), 10.0, (18, 4, 2), ["class"])
@@ -180,11 +178,13 @@ def structure_centroids(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("structure_index", *[F.round(k, 6).alias(k) for k in "yxz"], "size")
 
 
-@query(SQL + ", v AS (SELECT y, x, z, max(intensity_1) AS value FROM cells GROUP BY y, x, z) SELECT y * 100 + x AS position, round(avg(value), 4) AS value FROM v WHERE z <= 4 GROUP BY ALL")
+@query(SQL + ", v AS (SELECT y, x, z, max(intensity_1) AS value FROM cells GROUP BY y, x, z) SELECT y * 100 + x AS position, round(avg(value), 4) AS value, round(sum(value), 4) AS total, max(value) AS most FROM v GROUP BY ALL")
 def flatmap_mean(spark: SparkSession, sf: str) -> DataFrame:
     v = views.cells(spark, sf).groupBy("y", "x", "z").agg(F.max("intensity_1").alias("value"))
-    paths = v.where("z <= 4").select((F.col("y") * 100 + F.col("x")).alias("position"), "y", "x", "z")
-    return voxels.flatmap(paths, v, "value").select("position", F.round("value", 4).alias("value"))
+    paths = v.select((F.col("y") * 100 + F.col("x")).alias("position"), "y", "x", "z")
+    by = lambda method, name: voxels.flatmap(paths, v, "value", method).select("position", F.col("value").alias(name))
+    out = by("mean", "value").join(by("sum", "total"), "position").join(by("max", "most"), "position")
+    return out.select("position", F.round("value", 4).alias("value"), F.round("total", 4).alias("total"), "most")
 
 
 @query(SQL + "SELECT structure_index, CAST(dense_rank() OVER (ORDER BY structure_index) AS INTEGER) AS code FROM (SELECT DISTINCT structure_index FROM mask)")

@@ -11,14 +11,14 @@ from . import views
 from .registry import query
 from .views import SQL
 
-TILES_SQL = SQL + """, tiles AS (SELECT DISTINCT 'S' || (l_orderkey % 6) AS sample_id, CAST(l_linenumber % 3 AS INTEGER) AS y, CAST(l_suppkey % 4 AS INTEGER) AS x, CAST(l_quantity AS INTEGER) + CAST(l_suppkey % 4 AS INTEGER) AS z, CAST(l_partkey % 2 AS INTEGER) + 1 AS c FROM lineitem WHERE l_quantity <= 12),
+TILES_SQL = SQL + """, tiles AS (SELECT DISTINCT 'S' || (l_orderkey % 6) AS sample_id, CAST(l_linenumber % 3 AS INTEGER) AS y, CAST(l_suppkey % 4 AS INTEGER) AS x, CAST(l_quantity AS INTEGER) + CAST(l_suppkey % 4 AS INTEGER) AS z, CAST(l_partkey % 2 AS INTEGER) + 1 AS c FROM lineitem),
 names AS (SELECT 'in/' || sample_id || '/C' || c || '/t[' || lpad(y::VARCHAR, 2, '0') || ' x ' || lpad(x::VARCHAR, 2, '0') || ']_Z' || lpad(z::VARCHAR, 4, '0') || '.tif' AS file, * FROM tiles),
 cat AS (SELECT file, sample_id, CASE c WHEN 1 THEN 'topro' ELSE 'ctip2' END AS markers, c AS channel_num, x, y, z FROM names)"""
 
 
 def tiles(spark: SparkSession, sf: str) -> DataFrame:
     """File names of a made-up acquisition, built from line items."""
-    li = views.table(spark, sf, "lineitem").where("l_quantity <= 12")
+    li = views.table(spark, sf, "lineitem")
     x = (F.col("l_suppkey") % 4).cast("int")
     t = li.select(F.concat(F.lit("S"), (F.col("l_orderkey") % 6).cast("string")).alias("s"), (F.col("l_linenumber") % 3).cast("int").alias("y"), x.alias("x"), (F.col("l_quantity").cast("int") + x).alias("z"), ((F.col("l_partkey") % 2).cast("int") + 1).alias("c")).distinct()
     return t.select(F.format_string("in/%s/C%d/t[%02d x %02d]_Z%04d.tif", "s", "c", "y", "x", "z").alias("file"))
@@ -136,15 +136,9 @@ def score_argmax_z(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("sample_id", F.col("pos").cast("int").alias("pos"), F.round("total", 4).alias("total"))
 
 
-@query(SQL + """, k AS (SELECT tile, z, value FROM series WHERE value IS NOT NULL)
-SELECT s.tile, s.z, (SELECT k.value FROM k WHERE k.tile = s.tile ORDER BY abs(k.z - s.z), k.z LIMIT 1) AS filled FROM series s WHERE s.z <= 400""")
+@query(SQL + """, w AS (SELECT tile, z, max(CASE WHEN value IS NOT NULL THEN z END) OVER (PARTITION BY tile ORDER BY z) AS za, min(CASE WHEN value IS NOT NULL THEN z END) OVER (PARTITION BY tile ORDER BY z ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS zb FROM series)
+SELECT w.tile, w.z, CASE WHEN za IS NOT NULL AND (zb IS NULL OR w.z - za <= zb - w.z) THEN a.value ELSE b.value END AS filled FROM w LEFT JOIN series a ON a.tile = w.tile AND a.z = w.za LEFT JOIN series b ON b.tile = w.tile AND b.z = w.zb""")
 def asof_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    return align.asof_nearest(views.series(spark, sf), ["tile"], "z", "value").where("z <= 400").select("tile", "z", "filled")
-
-
-@query()
-def asof_nearest_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Every slice; ``asof_nearest`` keeps the first 400 of a tile, as its SQL does."""
     return align.asof_nearest(views.series(spark, sf), ["tile"], "z", "value").select("tile", "z", "filled")
 
 
@@ -153,7 +147,7 @@ SELECT w.tile, w.z, round(CASE WHEN w.za = w.zb THEN a.value ELSE a.value + (b.v
 def interp_linear(spark: SparkSession, sf: str) -> DataFrame:
     s = views.series(spark, sf)
     inner = s.where("value IS NOT NULL").groupBy("tile").agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
-    out = align.interpolate(s, ["tile"], "z", "value").join(F.broadcast(inner), "tile").where("z BETWEEN lo AND hi")
+    out = align.interpolate(s, ["tile"], "z", "value").join(inner, "tile").where("z BETWEEN lo AND hi")
     return out.select("tile", "z", F.round("filled", 6).alias("filled"))
 
 
@@ -192,11 +186,42 @@ def mst_offsets(spark: SparkSession, sf: str) -> DataFrame:
     return align.tile_offsets(near("x", 1).unionByName(near("y", 4)))
 
 
-@query()
+@query(SQL + """, s AS MATERIALIZED (SELECT * FROM series), f AS (SELECT tile, z, value::DOUBLE AS followed FROM s WHERE z = 1
+  UNION ALL SELECT s.tile, s.z, CASE WHEN f.followed IS NULL THEN s.value WHEN abs(s.value - f.followed) <= 50 THEN s.value ELSE f.followed END FROM f JOIN s ON s.tile = f.tile AND s.z = f.z + 1)
+SELECT s.tile, s.z, s.value::DOUBLE AS value, followed FROM f JOIN s USING (tile, z)""")
 def followed_translation(spark: SparkSession, sf: str) -> DataFrame:
     return align.follow(views.series(spark, sf).withColumn("value", F.col("value").cast("double")), ["tile"], "z", "value", 50.0)
 
 
+@query()
+def steady_translation(spark: SparkSession, sf: str) -> DataFrame:
+    """Values far from the median of all accepted earlier ones give way to the last accepted one; tests hold it against plain Python."""
+    return align.steady(views.series(spark, sf).withColumn("value", F.col("value").cast("double")), ["tile"], "z", "value", 60.0)
+
+
+@query(SQL + """, s AS (SELECT tile, z, coalesce(value, 0) AS v FROM series), m AS (SELECT tile, z, v, list(v) OVER (PARTITION BY tile ORDER BY z ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS l FROM s),
+n AS (SELECT *, list_median(l) AS mid FROM m), o AS (SELECT tile, z, CASE WHEN abs(v - mid) > 3 * 1.4826::DOUBLE * list_median(list_transform(l, lambda q: abs(q - mid))) THEN NULL ELSE v END AS v FROM n),
+w AS (SELECT tile, z, v, max(CASE WHEN v IS NOT NULL THEN z END) OVER (PARTITION BY tile ORDER BY z) AS za, min(CASE WHEN v IS NOT NULL THEN z END) OVER (PARTITION BY tile ORDER BY z ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS zb FROM o)
+SELECT w.tile, w.z, round(CASE WHEN w.za = w.zb THEN a.v ELSE a.v + (b.v - a.v) / (w.zb - w.za) * (w.z - w.za) END, 6) AS filled FROM w JOIN o a ON a.tile = w.tile AND a.z = w.za JOIN o b ON b.tile = w.tile AND b.z = w.zb""")
+def outliers_filled(spark: SparkSession, sf: str) -> DataFrame:
+    """Moving-median outliers replaced along the line of their neighbours; ends that have no neighbour on one side are left out here."""
+    s = views.series(spark, sf).select("tile", "z", F.coalesce("value", F.lit(0.0)).alias("v"))
+    out = align.fill_outliers(s, ["tile"], "z", "v")
+    inner = out.where("NOT outlier").groupBy("tile").agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
+    return out.join(inner, "tile").where("z BETWEEN lo AND hi").select("tile", "z", F.round("filled", 6).alias("filled"))
+
+
+@query(TILES_SQL + """, old AS (SELECT '/mnt/old/' || sample_id || '/data/' || file AS path FROM cat), held AS (SELECT file FROM cat WHERE channel_num = 1 UNION SELECT 'data/' || file FROM cat WHERE sample_id = 'S1'),
+parts AS (SELECT path, string_split(trim(path, '/'), '/') AS p FROM old), suffixes AS (SELECT path, i, array_to_string(p[i:], '/') AS suffix FROM (SELECT path, p, unnest(range(1, len(p) + 1)) AS i FROM parts))
+SELECT path, (SELECT '/new/' || arg_min(suffix, i) FROM suffixes s JOIN held ON held.file = s.suffix WHERE s.path = o.path) AS moved FROM old o""")
+def rerooted(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths under another base folder: the longest end of the old path that is there."""
+    c = tile_catalog(spark, sf)
+    old = c.select(F.concat(F.lit("/mnt/old/"), "sample_id", F.lit("/data/"), "file").alias("path"))
+    held = c.where("channel_num = 1").select("file").union(c.where("sample_id = 'S1'").select(F.concat(F.lit("data/"), "file")))
+    return catalog.reroot_to(old, "path", held, "/new")
+
+
 @query("SELECT p_partkey, round(CAST('0x' || substr(h, 1, 2) AS INTEGER) / 255.0::DOUBLE, 6) AS r, round(CAST('0x' || substr(h, 3, 2) AS INTEGER) / 255.0::DOUBLE, 6) AS g, round(CAST('0x' || substr(h, 5, 2) AS INTEGER) / 255.0::DOUBLE, 6) AS b, h AS hex FROM (SELECT p_partkey, upper(substr(md5(CAST(p_partkey AS VARCHAR)), 1, 6)) AS h FROM part)")
 def hex_to_rgb(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions.scalar import hex_rgb, rgb_hex

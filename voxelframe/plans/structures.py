@@ -114,7 +114,7 @@ def acronym_lookup(spark: SparkSession, sf: str) -> DataFrame:
     s = views.structure(spark, sf)
     first = views.table(spark, sf, "nation").agg(F.min("n_name").alias("acronym"))
     named = s.where(F.col("acronym") == "GERMANY").select("acronym").union(first).distinct()
-    return s.join(F.broadcast(named), "acronym").select("acronym", "id", "index")
+    return s.join(named, "acronym").select("acronym", "id", "index")
 
 
 LAYER_SQL = "CASE structure_id % 7 WHEN 0 THEN 1 WHEN 1 THEN 23 WHEN 2 THEN 4 WHEN 3 THEN 5 WHEN 4 THEN 60 WHEN 5 THEN 61 ELSE 0 END"

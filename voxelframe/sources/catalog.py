@@ -70,7 +70,7 @@ def common_z(catalog: DataFrame) -> DataFrame:
     """Slices that every tile of a sample has: from the greatest first to the least last slice."""
     tiles = catalog.groupBy("sample_id", "markers", "y", "x").agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
     span = tiles.groupBy("sample_id").agg(F.max("lo").alias("_lo"), F.min("hi").alias("_hi"))
-    return catalog.join(F.broadcast(span), "sample_id").where("z BETWEEN _lo AND _hi").drop("_lo", "_hi")
+    return catalog.join(span, "sample_id").where("z BETWEEN _lo AND _hi").drop("_lo", "_hi")
 
 
 def complete_z(catalog: DataFrame, z: str = "z") -> DataFrame:
@@ -82,7 +82,7 @@ def complete_z(catalog: DataFrame, z: str = "z") -> DataFrame:
 
 def adjust_z(catalog: DataFrame, shifts: DataFrame) -> DataFrame:
     """Adds z_adj = z - dz of the tile and marker (y, x, markers, dz), then keeps complete slices."""
-    moved = catalog.join(F.broadcast(shifts), ["y", "x", "markers"], "left").withColumn("z_adj", F.col("z") - F.coalesce("dz", F.lit(0))).drop("dz")
+    moved = catalog.join(shifts, ["y", "x", "markers"], "left").withColumn("z_adj", F.col("z") - F.coalesce("dz", F.lit(0))).drop("dz")
     return complete_z(moved, "z_adj")
 
 
@@ -92,7 +92,7 @@ def linspace_slices(catalog: DataFrame, n: int) -> DataFrame:
     step = (F.col("hi") - F.col("lo")) / max(1, n - 1)
     picked = F.array(F.col("hi")) if n == 1 else F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.round(F.col("lo") + i * step).cast("int"))
     wanted = span.select("sample_id", F.explode(F.array_distinct(picked)).alias("z"))
-    return catalog.join(F.broadcast(wanted), ["sample_id", "z"], "left_semi")
+    return catalog.join(wanted, ["sample_id", "z"], "left_semi")
 
 
 def neighbours(catalog: DataFrame, axis: str) -> DataFrame:
@@ -116,7 +116,15 @@ def in_groups(samples: DataFrame, groups: list[str]) -> DataFrame:
 
 def reroot(file: Column, old: str, new: str) -> Column:
     """Another base folder for paths below ``old``."""
-    return F.when(file.startswith(old), F.concat(F.lit(new), F.substring(file, len(old) + 1, 10_000))).otherwise(file)
+    return F.when(file.startswith(old), F.concat(F.lit(new), F.substr(file, F.lit(len(old) + 1)))).otherwise(file)
+
+
+def reroot_to(paths: DataFrame, path: str, held: DataFrame, base: str) -> DataFrame:
+    """path, moved: the longest end of the old path that ``held`` (file, relative to ``base``) has, under ``base``; null where none is."""
+    parts = F.split(F.trim(F.col(path), F.lit("/")), "/")
+    ends = paths.select(path, F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("_cut", "file"))
+    found = ends.join(held.select("file").distinct(), "file").groupBy(path).agg(F.min_by("file", "_cut").alias("_end"))
+    return paths.select(path).join(found, path, "left").select(path, F.concat(F.lit(base.rstrip("/") + "/"), "_end").alias("moved"))
 
 
 def renamed(file: Column, dy: int, dx: int) -> Column:
