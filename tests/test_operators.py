@@ -294,7 +294,7 @@ def test_mixture_of_odd_rows(spark):
 @pytest.mark.parametrize("p", [0.0, 0.01, 2.0, 50.0, 73.3, 99.99, 100.0])
 def test_percentile_of_many_values(spark, p):
     r = np.random.default_rng(9)
-    groups = {"even": r.random(20_000), "heavy": r.pareto(0.3, 15_000), "ties": r.integers(0, 3, 9_000).astype(float), "one": np.array([4.0])}
+    groups = {"even": r.random(20_000), "heavy": r.pareto(0.3, 45_000), "ties": r.integers(0, 3, 9_000).astype(float), "one": np.array([4.0])}
     frame = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [(None, 2.0), (None, 3.0)], "g string, v double").repartition(7)
     got = {r["g"]: r["percentile"] for r in stats.rank_percentile(frame, ["g"], "v", p).collect()}
     for g, x in (groups | {None: np.array([2.0, 3.0])}).items():
@@ -414,3 +414,54 @@ def test_streaming(spark, tmp_path):
     q = windows.append_detections(stream, f"{tmp_path}/out", f"{tmp_path}/ck")  # nothing is doubled
     q.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == events.count()
+
+
+@pytest.mark.parametrize("kind", ["uint8", "int16", "uint16", "float32"])
+def test_image_writers_round_trip(kind):
+    volume = (np.arange(2 * 5 * 7).reshape(2, 5, 7) * 3 % 251).astype(kind)
+    for compress in (False, True):
+        assert (images.read_nrrd(images.write_nrrd(volume, (0.5, 0.25, 2.0), compress))[0] == volume).all()
+        assert (images.read_mha(images.write_mha(volume, None, compress))[0] == volume).all()
+        got, head = images.read_nifti(images.write_nifti(volume, (0.5, 0.25, 2.0), compress))
+        assert (got == volume).all() and head["spacing"] == (0.5, 0.25, 2.0)
+
+
+def test_parameter_and_points_files(spark, tmp_path):
+    (tmp_path / "p.txt").write_text("// made here\n" + tables.parameters_text({"Transform": ["Affine"], "Grid": [8, 8.5], "Write": True}))
+    assert {r["key"]: r["values"] for r in tables.read_parameters(spark, str(tmp_path / "p.txt")).collect()} == {"Transform": ["Affine"], "Grid": ["8", "8.5"], "Write": ["true"]}
+    assert tables.points_text([(1, 2.5), (3, 4)], True) == "index\n2\n1 2.5\n3 4\n"
+    (tmp_path / "o.txt").write_text("Point\t0\t; InputIndex = [ 1 2 ]\t; InputPoint = [ 1.0 2.0 ]\t; OutputPoint = [ 1.5 2.25 ]\t; Deformation = [ 0.5 0.25 ]\n")
+    (got,) = tables.read_transformed_points(spark, str(tmp_path / "o.txt")).collect()
+    assert (got["point"], got["input"], got["output"], got["deformation"]) == (0, [1.0, 2.0], [1.5, 2.25], [0.5, 0.25])
+
+
+def test_results_and_steps(spark, tmp_path):
+    from voxelframe.sources import results
+
+    base = str(tmp_path / "results")
+    make = lambda s: spark.createDataFrame([(k, (k + len(s), 0.5)) for k in range(3)], "k int, stats struct<n:int,share:double>")
+    assert results.run_step(spark, base, "counts", ["a", "b"], make) == ["a", "b"]
+    assert results.run_step(spark, base, "counts", ["a", "b", "c"], make) == ["c"]
+    assert results.run_step(spark, base, "counts", ["a"], make, "update") == ["a"] and results.run_step(spark, base, "counts", ["d"], make, "false") == []
+    assert sorted(map(tuple, results.load_field(spark, base, "counts.stats.n", ["b"]).collect())) == [("b", 1), ("b", 2), ("b", 3)]
+    assert results.load_field(spark, base, "counts").count() == 9
+    assert sorted(map(tuple, results.fields(spark, base).collect())) == [("a", "counts"), ("b", "counts"), ("c", "counts")]
+    with pytest.raises(ValueError, match="flag"):
+        results.pending(make("a"), make("a"), ["k"], "maybe")
+    with pytest.raises(Exception, match="not in exactly one group: x"):
+        results.grouped(spark.createDataFrame([("a",), ("x",)], "sample_id string"), {"g": ["a"], "h": ["b"]}).collect()
+
+
+def test_per_marker():
+    from voxelframe.sources.results import per_marker
+
+    assert per_marker({"a": 1, "b": [2, 3], "c": [4]}, ["a", "b", "c", "d"], ["m", "n"], {"d": "x"}) == {"a": [1, 1], "b": [2, 3], "c": [4, 4], "d": ["x", "x"]}
+    with pytest.raises(ValueError, match="b has 3"):
+        per_marker({"b": [1, 2, 3]}, ["b"], ["m", "n"])
+
+
+def test_any_catalog(spark):
+    files = spark.createDataFrame([("in/C1/t[01 x 02]_Z0003.tif",), ("S1_0002_C1_m1_01_02_aligned.tif",), ("S1_0002_C2_m2_stitched.tif",), ("S1_C2_m2_25.nii",)], "file string")
+    got = {r["kind"]: r for r in catalog.read_any(files, "", {"m1": "/C1/"}).collect()}
+    assert set(got) == {"raw", "aligned", "stitched", "resampled"}
+    assert (got["raw"]["z"], got["aligned"]["z"], got["stitched"]["channel_num"], got["resampled"]["x_res"]) == (3, 2, 2, 25.0)

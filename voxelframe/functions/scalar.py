@@ -37,3 +37,15 @@ def adjust_intensity(pixel: Column, gain: Column, flat: Column, dark: Column, lo
 def rescale16(pixel: Column, low: Column, high: Column) -> Column:
     """Minimum and maximum stretched to 0..65535."""
     return F.when(high == low, 0).otherwise(F.round((pixel - low) / (high - low) * 65535.0)).cast("int")
+
+
+def before(text: Column, mark: str) -> Column:
+    """What stands before the first mark; empty without one."""
+    at = F.locate(mark, text)
+    return F.when(at > 0, F.substr(text, F.lit(1), at - 1)).otherwise(F.when(text.isNotNull(), ""))
+
+
+def after(text: Column, mark: str) -> Column:
+    """What stands after the first mark; empty without one."""
+    at = F.locate(mark, text)
+    return F.when(at > 0, F.substr(text, at + len(mark))).otherwise(F.when(text.isNotNull(), ""))

@@ -97,3 +97,49 @@ def rank_labels(mask: DataFrame, label: str) -> DataFrame:
     """Dictionary encoding: labels numbered 1, 2, ... in their order; over the distinct labels, then joined."""
     names = mask.select(label).distinct().withColumn("code", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(label)))
     return mask.join(names, label)
+
+
+def to_16_bit(volume: DataFrame, value: str) -> DataFrame:
+    """Values stretched from their least and greatest to 0..65535, rounded; a constant volume gives 0."""
+    ends = volume.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))  # one row
+    unit = (F.col(value) - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)
+    return volume.crossJoin(F.broadcast(ends)).withColumn(value, F.round(unit * 65535).cast("int")).drop("_lo", "_hi")
+
+
+def mask_and(volumes: list[DataFrame], wanted: Column, label: str = "structure_index") -> DataFrame:
+    """y, x, z, both: whether every volume has the voxel and gives it a wanted label, wherever one has it."""
+    one = None
+    for k, v in enumerate(volumes):
+        part = v.select("y", "x", "z", label, F.lit(k).alias("_k"))
+        one = part if one is None else one.unionByName(part)
+    held = one.groupBy("y", "x", "z", "_k").agg(F.bool_and(wanted).alias("_w"))
+    return held.groupBy("y", "x", "z").agg((F.bool_and("_w") & (F.count("*") == len(volumes))).alias("both"))
+
+
+def grow(points: DataFrame, radius: int, dims: tuple[int, int, int]) -> DataFrame:
+    """y, x, z, label: balls around the points (id, y, x, z) within the volume; a voxel of several goes to the nearest point, then to the least id."""
+    span = range(-radius, radius + 1)
+    ball = F.array(*[F.struct(F.lit(a).alias("y"), F.lit(b).alias("x"), F.lit(c).alias("z"), F.lit(a * a + b * b + c * c).alias("d")) for a in span for b in span for c in span if a * a + b * b + c * c <= radius * radius])
+    grown = points.withColumn("_o", F.explode(ball)).select(*[(F.col(c) + F.col(f"_o.{c}")).cast("int").alias(c) for c in "yxz"], F.struct(F.col("_o.d").alias("d"), F.col("id")).alias("m"))
+    for c, n in zip("yxz", dims, strict=True):
+        grown = grown.where(F.col(c).between(1, n))
+    return grown.groupBy("y", "x", "z").agg(F.min("m")["id"].alias("label"))
+
+
+def trim_edges(labels: DataFrame, label: str, dims: tuple[int, int, int], margin: tuple[int, int, int]) -> DataFrame:
+    """Voxels of the labels whose centroid lies more than ``margin`` from every face of the volume."""
+    middle = centroids(labels, [label]).drop("size")
+    for c, n, m in zip("yxz", dims, margin, strict=True):
+        middle = middle.where((F.col(c) > m) & (F.col(c) < n + 1 - m))
+    return labels.join(middle.select(label), label, "left_semi").select("y", "x", "z", label)
+
+
+def one_hot(label: Column, labels: list[int]) -> list[Column]:
+    return [F.when(label == k, 1).otherwise(0) for k in labels]
+
+
+def isotropic(volume: DataFrame, res: tuple[float, float, float], out: float, value: str) -> DataFrame:
+    """The volume at resolution ``out`` on all axes: averages of the pixels of a slice, then of the slices of a column."""
+    at = lambda c, r: F.ceil(F.col(c) * (r / out)).cast("int").alias(c)
+    flat = volume.groupBy(at("y", res[0]), at("x", res[1]), "z").agg(F.avg(value).alias(value))
+    return flat.groupBy("y", "x", at("z", res[2])).agg(F.avg(value).alias(value))

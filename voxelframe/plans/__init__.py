@@ -1,6 +1,6 @@
 """Query plans on the test tables, each with the SQL that checks it."""
 
-from . import kernels, measures, points, slices, structures  # noqa: F401
+from . import kernels, measures, points, slices, steps, structures  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

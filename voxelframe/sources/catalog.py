@@ -136,3 +136,38 @@ def renamed(file: Column, dy: int, dx: int) -> Column:
 def manifest(fields: DataFrame, wanted: list[str]) -> DataFrame:
     """Which of the wanted fields each sample has (sample_id, field)."""
     return fields.groupBy("sample_id").agg(*[F.bool_or(F.col("field") == w).alias(w) for w in wanted])
+
+
+def base_name(file: Column) -> Column:
+    return F.substring_index(file, "/", -1)
+
+
+def only_file(asked: DataFrame, catalog: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds file: the one file of each key; null where the catalog has none or several."""
+    one = catalog.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("file").alias("file")).where("_n = 1").drop("_n")
+    return asked.join(one, keys, "left")
+
+
+def by_substring(files: DataFrame, markers: list[str]) -> DataFrame:
+    """file, marker, channel_num (from 1) for every marker that a file's name contains."""
+    listed = F.array(*[F.struct(F.lit(m).alias("marker"), F.lit(k).alias("channel_num")) for k, m in enumerate(markers, 1)])
+    held = F.filter(listed, lambda m: F.contains(F.col("file"), m["marker"]))
+    return files.select("file", F.explode(held).alias("m")).select("file", "m.marker", "m.channel_num")
+
+
+def kind(file: Column) -> Column:
+    """aligned, stitched, resampled or raw, by the file's name."""
+    name = base_name(file)
+    return F.when(name.endswith("_aligned.tif"), "aligned").when(name.endswith("_stitched.tif"), "stitched").when(name.rlike(r"_C\d+_.*_\d+(\.\d+)?\.nii$"), "resampled").otherwise("raw")
+
+
+def read_any(files: DataFrame, base: str, markers: dict[str, str]) -> DataFrame:
+    """One catalog of files of all kinds: each by the reader of its kind, with a column kind; columns that a kind lacks are null."""
+    kinds = files.withColumn("kind", kind(F.col("file")))
+    of = lambda k: kinds.where(F.col("kind") == k).select("file")
+    parts = {"raw": parse_raw(of("raw"), base, markers), "aligned": parse_aligned(of("aligned")), "stitched": parse_stitched(of("stitched")), "resampled": parse_resampled(of("resampled"))}
+    out = None
+    for k, part in parts.items():
+        part = part.withColumn("kind", F.lit(k))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out

@@ -111,6 +111,43 @@ def read_nifti(raw: bytes) -> tuple[np.ndarray, dict[str, object]]:
     return np.frombuffer(raw, order + NIFTI_TYPES[code], int(np.prod(sizes)), at).reshape(sizes[::-1]), {"spacing": spacing, "sizes": sizes}
 
 
+def write_nrrd(volume: np.ndarray, spacing: tuple[float, ...] | None = None, compress: bool = True) -> bytes:
+    """An attached NRRD of an array in file order (last axis fastest); spacings go from the fastest axis on."""
+    data = np.ascontiguousarray(volume.astype(volume.dtype.newbyteorder("<")))
+    names = {v: k for k, v in reversed(NRRD_TYPES.items())}
+    lines = ["NRRD0004", f"type: {names[data.dtype.str[1:]]}", f"dimension: {data.ndim}", "sizes: " + " ".join(map(str, data.shape[::-1])), f"encoding: {'gzip' if compress else 'raw'}", "endian: little"]
+    if spacing:
+        lines.append("spacings: " + " ".join(map(repr, spacing)))
+    raw = data.tobytes()
+    return ("\n".join(lines) + "\n\n").encode() + (gzip.compress(raw, mtime=0) if compress else raw)
+
+
+def write_mha(volume: np.ndarray, spacing: tuple[float, ...] | None = None, compress: bool = False) -> bytes:
+    """A MetaImage with its pixels in the same file."""
+    data = np.ascontiguousarray(volume.astype(volume.dtype.newbyteorder("<")))
+    names = {v: k for k, v in reversed(MET_TYPES.items())}
+    raw = zlib.compress(data.tobytes()) if compress else data.tobytes()
+    fields = {"ObjectType": "Image", "NDims": data.ndim, "BinaryData": "True", "ElementByteOrderMSB": "False", "CompressedData": str(compress)}
+    fields |= {"CompressedDataSize": len(raw)} if compress else {}
+    fields |= {"ElementSpacing": " ".join(map(repr, spacing or (1.0,) * data.ndim)), "DimSize": " ".join(map(str, data.shape[::-1])), "ElementType": names[data.dtype.str[1:]], "ElementDataFile": "LOCAL"}
+    return "".join(f"{k} = {v}\n" for k, v in fields.items()).encode() + raw
+
+
+def write_nifti(volume: np.ndarray, spacing: tuple[float, ...] = (1.0, 1.0, 1.0), compress: bool = False) -> bytes:
+    """A NIfTI-1 image in one file."""
+    data = np.ascontiguousarray(volume.astype(volume.dtype.newbyteorder("<")))
+    codes = {v: k for k, v in reversed(NIFTI_TYPES.items())}
+    head = bytearray(352)
+    struct.pack_into("<i", head, 0, 348)
+    struct.pack_into("<8h", head, 40, data.ndim, *data.shape[::-1], *[1] * (7 - data.ndim))
+    struct.pack_into("<hh", head, 70, codes[data.dtype.str[1:]], data.dtype.itemsize * 8)
+    struct.pack_into("<8f", head, 76, 1.0, *spacing, *[1.0] * (7 - len(spacing)))
+    struct.pack_into("<f", head, 108, 352.0)
+    head[344:348] = b"n+1\0"
+    out = bytes(head) + data.tobytes()
+    return gzip.compress(out, mtime=0) if compress else out
+
+
 def decode(name: str, raw: bytes) -> np.ndarray:
     """(z, y, x) of any supported file."""
     low = name.lower()

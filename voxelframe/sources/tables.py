@@ -39,6 +39,24 @@ def read_parameters(spark: SparkSession, path: str) -> DataFrame:
     return found.where("key <> ''").select("file", "key", F.transform(F.regexp_extract_all("rest", F.lit(r'"[^"]*"|\S+'), F.lit(0)), lambda v: F.regexp_replace(v, '^"|"$', "")).alias("values"))
 
 
+def parameters_text(values: dict[str, list]) -> str:
+    """A registration parameter file: a line for each key; words and true or false are quoted, numbers aren't."""
+    shown = lambda v: f'"{str(v).lower()}"' if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else f'"{v}"'
+    return "".join(f"({k} {' '.join(map(shown, v if isinstance(v, (list, tuple)) else [v]))})\n" for k, v in values.items())
+
+
+def points_text(points: list[tuple[float, ...]], index: bool = False) -> str:
+    """A points file: whether they are indices or positions, their number, then one a line."""
+    return f"{'index' if index else 'point'}\n{len(points)}\n" + "".join(" ".join(map(repr, p)) + "\n" for p in points)
+
+
+def read_transformed_points(spark: SparkSession, path: str) -> DataFrame:
+    """file, point, and the arrays input, output and deformation of a transformed-points file."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.col("value").startswith("Point"))
+    numbers = lambda name: F.transform(F.split(F.trim(F.regexp_extract("value", rf"{name} = \[([^\]]*)\]", 1)), r"\s+"), lambda v: v.try_cast("double"))
+    return lines.select("file", F.regexp_extract("value", r"^Point\s+(\d+)", 1).cast("bigint").alias("point"), numbers("InputPoint").alias("input"), numbers("OutputPoint").alias("output"), numbers("Deformation").alias("deformation"))
+
+
 def append_partition(df: DataFrame, path: str, by: str) -> None:
     """Write one partition's rows over what it had: a rerun doesn't double them."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
