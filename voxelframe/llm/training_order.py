@@ -156,7 +156,7 @@ def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = SEQUE
             yield batch()
 
     cut = docs.select(F.expr("try_cast(doc_id AS bigint)").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return save(cut.mapInArrow(run, "part int, place bigint, n_tokens int, doc_ids array<bigint>, starts array<int>, tokens binary"), "sequences")
+    return save(cut.mapInArrow(run, "part int, place bigint, n_tokens int, doc_ids array<bigint>, starts array<int>, tokens binary"), "sequences", dense=True)
 
 
 def materialise(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = SEQUENCE, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
