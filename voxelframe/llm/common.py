@@ -77,15 +77,15 @@ def discard(spark: SparkSession, paths: list[str], *still: DataFrame) -> None:
             _remove(spark, path)
 
 
-def save(df: DataFrame, name: str, dense: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again; ``dense`` spends CPU time on large pages and a higher level of compression.
+def save(df: DataFrame, name: str, page: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it again; ``page``: bytes of a page, within which values are compressed together.
 
     This cuts the lineage: what follows never recomputes ``df``, and a lost executor
     takes nothing with it.
     """
     spark = df.sparkSession
     path = _path(spark, name)
-    how = {"compression": "zstd"} | ({"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20)} if dense else {})
+    how = {"compression": "zstd"} | ({"parquet.page.size": str(page)} if page else {})
     df.write.options(**how).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._voxelframe_path = path

@@ -5,7 +5,7 @@
 2. Each partition's number of sequences gives every sequence a dense index 0..N-1.
 3. A keyed Feistel permutation with cycle-walking takes the index to its slot: a bijection of
    0..N-1 that needs no shuffle buffer and can be computed, and inverted, for any one slot.
-4. Sequences go to the partition of their slot range and are written there, in slot order, as
+4. Sequences go, packed, to the partition of their slot range and are written there, in slot order, as
    records of a fixed stride: slot s is in shard s // per_shard at byte (s % per_shard) * stride.
    A reader seeks to any slot and reads on, so training resumes anywhere.
 
@@ -25,11 +25,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +43,8 @@ LONGEST = 32_768
 KINDS = r"\s+|\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
 SEQUENCE, PER_SHARD, KEY = 1024, 8192, 20240229
 TASK_BYTES = 32 << 20
+#: Sequences from which the packing on the way is learned; it changes no result.
+DICTIONARY_ROWS = 2000
 ROUNDS = 6
 
 
@@ -156,11 +158,46 @@ def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = SEQUE
             yield batch()
 
     cut = docs.select(F.expr("try_cast(doc_id AS bigint)").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return save(cut.mapInArrow(run, "part int, place bigint, n_tokens int, doc_ids array<bigint>, starts array<int>, tokens binary"), "sequences", dense=True)
+    return save(cut.mapInArrow(run, "part int, place bigint, n_tokens int, doc_ids array<bigint>, starts array<int>, tokens binary"), "sequences", page=8 << 20)
+
+
+def dictionary(made: DataFrame) -> bytes | None:
+    """What DICTIONARY_ROWS sequences have in common, with which each is packed alone on its way to its slot; None for a few sequences."""
+    import zstandard
+
+    some = [bytes(r["tokens"]) for r in made.select("tokens").limit(DICTIONARY_ROWS).collect()]
+    try:
+        return zstandard.train_dictionary(112 << 10, some).as_bytes() if len(some) >= 64 else None
+    except zstandard.ZstdError:  # too alike to learn from
+        return None
+
+
+def _dictionary(raw: bytes | None) -> dict:
+    import zstandard
+
+    return {"dict_data": zstandard.ZstdCompressionDict(raw)} if raw else {}
+
+
+def unpacker(raw: bytes | None) -> Callable[[bytes], bytes]:
+    import zstandard
+
+    return zstandard.ZstdDecompressor(**_dictionary(raw)).decompress
 
 
 def materialise(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = SEQUENCE, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
     """slot, shard, byte_offset, index, n_tokens, doc_ids, starts, tokens: partitioned by slot range, sorted by slot."""
+    packed, shared = ordered(docs, vocabulary, length, per_shard, key)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = unpacker(shared.value)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([decode(x.as_py()) for x in b.column("tokens")], pa.binary())], names=b.schema.names)
+
+    return packed.mapInArrow(unpack, packed.schema)
+
+
+def ordered(docs: DataFrame, vocabulary: str, length: int, per_shard: int, key: int) -> tuple[DataFrame, Broadcast]:
+    """What ``materialise`` gives with packed tokens, and the dictionary to unpack them with."""
     spark = docs.sparkSession
     made = sequences(docs, vocabulary, length)
     sizes = {r["part"]: r["n"] for r in made.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row for each input split
@@ -170,20 +207,24 @@ def materialise(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = SEQ
         n += sizes[part]
     stride = length * (2 if max(load_vocabulary(vocabulary).values()) + 1 < 1 << 16 else 4)
     order = spark.sparkContext.broadcast((first, Permutation(max(n, 1), key)))
+    shared = spark.sparkContext.broadcast(dictionary(made))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         first, permutation = order.value
+        pack = zstandard.ZstdCompressor(level=6, **_dictionary(shared.value)).compress
         for b in batches:
             index = np.array([first[p] for p in b.column("part").to_pylist()], np.int64) + b.column("place").to_numpy()
             slot = permutation.slots(index)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(index), *b.columns[2:]], names=["slot", "index", *b.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(index), *b.columns[2:-1], pa.array([pack(x.as_buffer()) for x in b.column("tokens")], pa.binary())], names=["slot", "index", *b.schema.names[2:]])
 
     shards = max(1, -(-n // per_shard))
     parts = int(min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * stride // TASK_BYTES + 1)))
     placed = made.mapInArrow(place, "slot bigint, index bigint, n_tokens int, doc_ids array<bigint>, starts array<int>, tokens binary")
     placed = placed.withColumn("shard", F.expr(f"slot div {per_shard}")).withColumn("byte_offset", F.col("slot") % per_shard * stride)
     ranged = placed.repartitionById(parts, F.expr(f"cast(shard * {parts} div {shards} as int)")).sortWithinPartitions("slot")
-    return ranged.select("slot", "shard", "byte_offset", "index", "n_tokens", "doc_ids", "starts", "tokens")
+    return ranged.select("slot", "shard", "byte_offset", "index", "n_tokens", "doc_ids", "starts", "tokens"), shared
 
 
 def shard_folder(spark: SparkSession) -> str:
@@ -192,9 +233,11 @@ def shard_folder(spark: SparkSession) -> str:
     return f"{(spark.conf.get('spark.voxelframe.shards', '') or work_dir(spark)).rstrip('/')}/shards-{uuid.uuid4().hex}"
 
 
-def write_shards(ordered: DataFrame, folder: str, rows: bool = False) -> DataFrame:
+def write_shards(ordered: DataFrame, folder: str, rows: bool = False, packed: Broadcast | None = None) -> DataFrame:
     """Write each shard as one file of records under ``folder`` (a path or URI all machines reach).
 
+    ``packed``: the dictionary of packed tokens, where ``ordered`` has such.
+
     Gives shard, path, n_records, sha256; with ``rows``, the rows of ``ordered`` instead, as they are
     written. A shard is written under another name and then moved, so a task that runs again leaves the same file.
     """
@@ -205,6 +248,7 @@ def write_shards(ordered: DataFrame, folder: str, rows: bool = False) -> DataFra
         store, top = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
         store.create_dir(top, recursive=True)
         now, sink, temp, n, digest = None, None, "", 0, None
+        decode = unpacker(packed.value) if packed else None
 
         def done() -> tuple:
             sink.close()
@@ -216,6 +260,8 @@ def write_shards(ordered: DataFrame, folder: str, rows: bool = False) -> DataFra
             return pa.RecordBatch.from_pylist([dict(zip(("shard", "path", "n_records", "sha256"), x, strict=True))], schema=pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_records", pa.int64()), ("sha256", pa.string())]))
 
         for b in batches:
+            if decode:
+                b = pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([decode(x.as_py()) for x in b.column("tokens")], pa.binary())], names=b.schema.names)
             for shard, record in zip(b.column("shard").to_pylist(), b.column("tokens"), strict=True):
                 if shard != now:
                     if now is not None:
@@ -244,7 +290,8 @@ def write_shards(ordered: DataFrame, folder: str, rows: bool = False) -> DataFra
 
 def written(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """The rows of ``materialise``; their shards are written as the rows are computed, in the same pass."""
-    return write_shards(materialise(docs), folder or shard_folder(docs.sparkSession), rows=True)
+    packed, shared = ordered(docs, VOCABULARY, SEQUENCE, PER_SHARD, KEY)
+    return write_shards(packed, folder or shard_folder(docs.sparkSession), rows=True, packed=shared)
 
 
 def read_slots(folder: str, start: int, count: int, length: int = SEQUENCE, per_shard: int = PER_SHARD, kind: str = "<u2") -> Iterator[np.ndarray]:
