@@ -511,5 +511,42 @@ def test_prior():
         assert abs(quality.estimate_prior(r.normal(2, 1, 4000), unl) - share) < 0.06
 
 
+def test_pipeline_stage_by_stage(spark, docs, tmp_path):
+    """Each stage against a plain version of its contract, on what the stage before left; the whole run against the stages."""
+    import tiktoken
+
+    labels, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
+    now, left = docs, []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, SF).write.parquet(f"{tmp_path}/{name}")
+        left.append(spark.read.parquet(f"{tmp_path}/{name}"))
+        now = left[-1]
+    good = {r["doc_id"] for r in quality.classify(docs, labels).where("predicted = 1").collect()}
+    assert {r["doc_id"] for r in left[0].collect()} == good and 0 < len(good) < docs.count()
+    texts = {r["doc_id"]: r["text"] for r in left[0].collect()}
+    unique = {i for i, (_, least) in brute_components(texts).items() if i == least}
+    assert {r["doc_id"] for r in left[1].collect()} == unique
+    bad = brute_contamination({i: texts[i] for i in unique}, [(r["item_id"], r["text"]) for r in items.collect()])
+    clean = {i for i in unique if not bad[i][4]}
+    assert {r["doc_id"] for r in left[2].collect()} == clean
+    assert {(r["doc_id"], r["text"], r["source"]) for r in left[2].collect()} == {(r["doc_id"], r["text"], r["source"]) for r in docs.collect() if r["doc_id"] in clean}
+    mixed = Counter(r["doc_id"] for r in left[3].collect())
+    assert mixed == Counter({r["doc_id"]: r["copies"] for r in mixing.copies(left[2]).collect() if r["copies"]})
+    coder = tiktoken.Encoding("own", pat_str=training_order.PATTERN, mergeable_ranks=training_order.load_vocabulary(training_order.VOCABULARY), special_tokens={})
+    end = max(training_order.load_vocabulary(training_order.VOCABULARY).values()) + 1
+    said: Counter = Counter()
+    open_: list[int] = []
+    for r in sorted(left[4].collect(), key=lambda r: r["index"]):
+        for t in np.frombuffer(bytes(r["tokens"]), "<u2")[: r["n_tokens"]].tolist():
+            if t == end:
+                said[coder.decode(open_)] += 1
+                open_ = []
+            else:
+                open_.append(t)
+    assert not open_ and said == Counter(texts[i] or "" for i in mixed.elements())
+    whole = corpus_pipeline.run(spark, SF).collect()
+    assert sorted(r["n_tokens"] for r in whole) and sum(r["n_tokens"] for r in whole) == left[4].agg(F.sum("n_tokens")).first()[0]
+
+
 def test_queries_cover_the_operators():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES) == list(range(1, 11))
