@@ -24,6 +24,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,10 +95,12 @@ class Net:
 class Bags:
     """Shares of hashed words of many texts, kept sparse; ``bags[rows]`` is dense."""
 
-    def __init__(self, keys: list[np.ndarray], counts: list[np.ndarray]):
-        self.ends = np.cumsum([0, *map(len, keys)])
-        self.keys = np.concatenate([np.zeros(0, np.int16), *keys]).astype(np.int16)
-        self.values = np.concatenate([np.zeros(0, np.float32), *(np.asarray(n, np.float32) / max(1, np.sum(n)) for n in counts)]).astype(np.float32)
+    def __init__(self, keys: pa.ChunkedArray, counts: pa.ChunkedArray):
+        sizes = pc.fill_null(pc.list_value_length(keys), 0).to_numpy()
+        self.ends = np.concatenate([[0], np.cumsum(sizes)])
+        self.keys, n = pc.list_flatten(keys).to_numpy(), pc.list_flatten(counts).to_numpy().astype(np.float32)
+        whole = np.add.reduceat(np.append(n, 0), self.ends[:-1]) * (sizes > 0) if len(sizes) else np.zeros(0, np.float32)
+        self.values = n / np.repeat(np.maximum(whole, 1), sizes).astype(np.float32)
 
     def __getitem__(self, rows: np.ndarray) -> np.ndarray:
         out = np.zeros((len(rows), BUCKETS), np.float32)
@@ -209,15 +212,16 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 4) -> dict | None:
                 names=["doc_id", "kinds", "y", "x", "k", "n"],
             )
 
-    got = rows.mapInArrow(measure, f"doc_id {kind}, kinds array<string>, y int, x array<float>, k array<smallint>, n array<int>").toPandas().sort_values("doc_id", ignore_index=True)
-    kinds = {c: got.kinds.map(lambda s, c=c: c in s).to_numpy(bool) if len(got) else np.zeros(0, bool) for c in "pcu"}
+    got = rows.mapInArrow(measure, f"doc_id {kind}, kinds array<string>, y int, x array<float>, k array<smallint>, n array<int>").toArrow().sort_by("doc_id")
+    listed = got.column("kinds").to_pylist()
+    kinds = {c: np.array([c in s for s in listed], bool) for c in "pcu"}
     if kinds["p"].sum() < 2 or not kinds["u"].any():
         return None
-    x = np.stack(got.x.to_list()).astype(np.float64)
+    x = pc.list_flatten(got.column("x")).to_numpy().reshape(len(got), -1).astype(np.float64)
     mean, sd = x[kinds["u"]].mean(0), x[kinds["u"]].std(0) + 1e-3
     x = np.clip((x - mean) / sd, -8, 8)
-    bags = Bags(list(got.k), list(got.n))
-    y, names = got.y.to_numpy(), got.doc_id.tolist()
+    bags = Bags(got.column("k"), got.column("n"))
+    y, names = got.column("y").to_numpy(), got.column("doc_id").to_pylist()
     del got
     take = lambda who: Rows(x, bags, np.flatnonzero(who))
     half = np.arange(len(y)) % 2 == 0
@@ -229,6 +233,8 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 4) -> dict | None:
     net = _fit(take(kinds["p"]), take(kinds["u"]), prior, 14, seed, True)
     who = kinds["c"]
     scale = platt(take(who).logits(net), y[who], np.ones(int(who.sum())))
+    del x, bags, take
+    pa.default_memory_pool().release_unused()
     return {"p": net.p, "mean": mean, "sd": sd, "scale": scale, "prior": prior}
 
 
